@@ -36,7 +36,8 @@ def haversine(lng1, lat1, lng2, lat2, radius: float = EARTH_EQUATORIAL_M) -> Col
         F.pow(F.sin(F.radians(lat2 - lat1) / 2), F.lit(2.0))
         + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lng2 - lng1) / 2), F.lit(2.0))
     )
-    return F.lit(2.0 * radius) * F.asin(F.least(F.lit(1.0), F.sqrt(s)))
+    # not least(): it would skip a null coordinate and answer half the globe
+    return F.lit(2.0 * radius) * F.asin(F.sqrt(F.when(s > 1, F.lit(1.0)).otherwise(s)))
 
 
 def bearing(lng1, lat1, lng2, lat2) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CHUNK = 250_000  # order units per chunk
+BOUNDED = None  # for keys whose rows are bounded by construction (a profile has 256 samples): one plain window
 
 
 def _chunked(df: DataFrame, order: str, chunk: int) -> DataFrame:
@@ -26,11 +27,16 @@ def with_neighbours(
     order: str,
     prev: dict[str, str] | None = None,
     nxt: dict[str, str] | None = None,
-    chunk: int = CHUNK,
+    chunk: int | None = CHUNK,
 ) -> DataFrame:
     """Add columns of the previous / next row: ``prev={"new": "old"}`` reads ``old`` from the row before."""
     prev, nxt = prev or {}, nxt or {}
     keys = list(keys)
+    if chunk is BOUNDED:
+        w = Window.partitionBy(*keys).orderBy(order)
+        return df.select(
+            "*", *[F.lag(c).over(w).alias(n) for n, c in prev.items()], *[F.lead(c).over(w).alias(n) for n, c in nxt.items()]
+        )
     d = _chunked(df, order, chunk)
     w = Window.partitionBy(*keys, "_chunk").orderBy(order)
     across = Window.partitionBy(*keys).orderBy("_chunk")
@@ -62,11 +68,14 @@ def with_neighbours(
 
 
 def running_sum(
-    df: DataFrame, keys: Sequence[str], order: str, value: Column | str, out: str, chunk: int = CHUNK
+    df: DataFrame, keys: Sequence[str], order: str, value: Column | str, out: str, chunk: int | None = CHUNK
 ) -> DataFrame:
     """Sum of ``value`` over all rows of the key up to and including this one."""
     keys = list(keys)
     v = F.col(value) if isinstance(value, str) else value
+    if chunk is BOUNDED:
+        w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumn(out, F.sum(F.coalesce(v, F.lit(0))).over(w))
     d = _chunked(df, order, chunk).withColumn("_v", F.coalesce(v, F.lit(0)))
     w = Window.partitionBy(*keys, "_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
@@ -78,13 +87,21 @@ def running_sum(
 
 
 def with_known(
-    df: DataFrame, keys: Sequence[str], order: str, value: str, chunk: int = CHUNK
+    df: DataFrame, keys: Sequence[str], order: str, value: str, chunk: int | None = CHUNK
 ) -> DataFrame:
     """Add the nearest non-null value at or before (``_pv`` at ``_pp``) and at or after (``_nv`` at ``_np``)."""
     keys = list(keys)
-    d = _chunked(df, order, chunk).withColumn(
-        "_k", F.when(F.col(value).isNotNull(), F.struct(F.col(value).alias("v"), F.col(order).alias("p")))
-    )
+    known = F.when(F.col(value).isNotNull(), F.struct(F.col(value).alias("v"), F.col(order).alias("p")))
+    if chunk is BOUNDED:
+        w = Window.partitionBy(*keys).orderBy(order)
+        b = F.last("_k", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+        a = F.first("_k", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+        d = df.withColumn("_k", known).withColumn("_b", b).withColumn("_a", a)
+        return d.select(
+            *[F.col(c) for c in df.columns],
+            F.col("_b.v").alias("_pv"), F.col("_b.p").alias("_pp"), F.col("_a.v").alias("_nv"), F.col("_a.p").alias("_np"),
+        )
+    d = _chunked(df, order, chunk).withColumn("_k", known)
     inside = Window.partitionBy(*keys, "_chunk").orderBy(order)
     across = Window.partitionBy(*keys).orderBy("_chunk")
     back, ahead = (Window.unboundedPreceding, 0), (0, Window.unboundedFollowing)

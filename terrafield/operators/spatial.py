@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import cells, geo
+from ..functions.lookup import lookup
 
 # Fixed values.
 SETTLEMENT_RANK = {"city": 4, "town": 3, "village": 2, "hamlet": 1}
@@ -72,9 +73,7 @@ def k_nearest(pairs: DataFrame, point_id: str, target_id: str, k: int, rank: str
 
 def nearest_town(places: DataFrame, limit_mi: float = TOWN_LIMIT_MI) -> DataFrame:
     """Best settlement anchor of every non-settlement place: distance discounted by how well known the town is."""
-    rank = F.lit(None).cast("int")
-    for detail, value in SETTLEMENT_RANK.items():
-        rank = F.when(F.col("detail") == detail, value).otherwise(rank)
+    rank = lookup("detail", SETTLEMENT_RANK)
     town = F.struct(F.col("place_id").alias("town_id"), F.col("name").alias("town"), F.col("t_rank"))
     towns = (
         places.where(F.col("kind") == "locality")

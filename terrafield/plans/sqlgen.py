@@ -6,10 +6,11 @@ from ..functions.geo import COMPASS_POINTS
 
 
 def hav(lng1, lat1, lng2, lat2, r=6378137.0) -> str:
-    return (
-        f"(2*{r!r}*asin(least(1.0e0,sqrt(pow(sin(radians(({lat2})-({lat1}))/2),2)+cos(radians({lat1}))*cos(radians({lat2}))"
-        f"*pow(sin(radians(({lng2})-({lng1}))/2),2)))))"
+    s = (
+        f"pow(sin(radians(({lat2})-({lat1}))/2),2)+cos(radians({lat1}))*cos(radians({lat2}))"
+        f"*pow(sin(radians(({lng2})-({lng1}))/2),2)"
     )
+    return f"(2*{r!r}*asin(sqrt({s})))"
 
 
 def fmod(x, n) -> str:
