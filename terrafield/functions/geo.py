@@ -53,7 +53,7 @@ def cardinal(deg) -> Column:
     """16-point compass name of a bearing."""
     names = F.array(*[F.lit(p) for p in COMPASS_POINTS])
     idx = round_half_up(F.pmod(col(deg), F.lit(360.0)) / 22.5).cast("int") % 16
-    return F.element_at(names, idx + 1)
+    return F.when(col(deg).isNotNull(), F.element_at(names, idx + 1))
 
 
 def destination(lng, lat, bearing_rad, metres, radius: float = EARTH_MEAN_M) -> tuple[Column, Column]:

@@ -71,8 +71,11 @@ def k_nearest(pairs: DataFrame, point_id: str, target_id: str, k: int, rank: str
     return pairs.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
 
 
-def nearest_town(places: DataFrame, limit_mi: float = TOWN_LIMIT_MI) -> DataFrame:
-    """Best settlement anchor of every non-settlement place: distance discounted by how well known the town is."""
+def nearest_town(places: DataFrame, limit_mi: float = TOWN_LIMIT_MI, only: DataFrame | None = None) -> DataFrame:
+    """Best settlement anchor of every non-settlement place: distance discounted by how well known the town is.
+
+    ``only`` limits the places that are asked about; towns always come from all ``places``.
+    """
     rank = lookup("detail", SETTLEMENT_RANK)
     town = F.struct(F.col("place_id").alias("town_id"), F.col("name").alias("town"), F.col("t_rank"))
     towns = (
@@ -83,7 +86,7 @@ def nearest_town(places: DataFrame, limit_mi: float = TOWN_LIMIT_MI) -> DataFram
         .agg(F.min_by(town, F.struct(-F.col("t_rank"), F.col("place_id"))).alias("t"))
         .select("t_lng", "t_lat", "t.*")
     )
-    points = places.where(F.col("kind") != "locality").select("place_id", *AT)
+    points = (places if only is None else only).where(F.col("kind") != "locality").select("place_id", *AT)
     near_box = (F.abs(F.col("t_lat") - F.col("lat")) <= 0.6) & (F.abs(F.col("t_lng") - F.col("lng")) <= 0.8)
     pairs = within_radius(locations(points), towns, limit_mi * geo.METRES_PER_MILE, extra=near_box)
     score = F.col("dist_m") / (1 + 2 * F.col("t_rank"))
