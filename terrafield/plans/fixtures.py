@@ -50,3 +50,9 @@ VIEWS: dict[str, str | dict[str, str]] = {
     # tile features: two vertices each, every third one repeated in the next tile
     "v_feature": "select l_orderkey * 8 + l_linenumber as feature_id, case l_partkey % 6 when 0 then 'places' when 1 then 'pois' when 2 then 'water' when 3 then 'roads' when 4 then 'earth' else 'landuse' end as layer, case l_partkey % 11 when 0 then 'country' when 1 then 'administrative' when 2 then 'ferry' when 3 then 'locality' when 4 then 'lake' when 5 then 'river' else 'peak' end as kind, case l_suppkey % 3 when 0 then 'town' when 1 then 'village' else null end as kind_detail, case when l_linenumber = 7 then null else 'Feature ' || cast(l_partkey % 900 as string) end as name, case when l_partkey % 13 = 0 then 'English ' || cast(l_partkey % 900 as string) else null end as name_en, cast(l_quantity * 100 as bigint) as population, 12 as z, -124.0e0 + (l_partkey % 700) * 0.01e0 + l_linenumber * 0.0007e0 as lng, 42.0e0 + (l_suppkey % 90) * 0.04e0 + l_linenumber * 0.0003e0 as lat from lineitem",
 }
+
+VIEWS |= {
+    # 90 harmonics whose values depend on the whole part table
+    "v_coef": "select cast(case when i < 3 then 1 when i < 6 then 2 when i < 10 then 3 when i < 15 then 4 when i < 21 then 5 when i < 28 then 6 when i < 36 then 7 when i < 45 then 8 when i < 55 then 9 when i < 66 then 10 when i < 78 then 11 else 12 end as int) as n, cast(i - case when i < 3 then 1 when i < 6 then 3 when i < 10 then 6 when i < 15 then 10 when i < 21 then 15 when i < 28 then 21 when i < 36 then 28 when i < 45 then 36 when i < 55 then 45 when i < 66 then 55 when i < 78 then 66 else 78 end as int) as m, case when i = 1 then -29000.0e0 else ((i * 37) % 101 - 50) * 20.0e0 + sz end as g, case when i in (1, 3, 6, 10, 15, 21, 28, 36, 45, 55, 66, 78) then 0.0e0 else ((i * 53) % 89 - 44) * 25.0e0 - sz end as h, ((i * 7) % 19 - 9) * 1.5e0 as gdot, ((i * 5) % 17 - 8) * 1.1e0 as hdot from (select 1 + p_partkey % 90 as i, cast(max(p_size) as double) as sz from part group by 1 + p_partkey % 90)",
+    "v_sheet": "select s_suppkey as sheet_id, -124.0e0 + (s_suppkey % 25) * 0.27e0 as west, 42.0e0 + (s_suppkey % 17) * 0.2e0 as south, -124.0e0 + (s_suppkey % 25) * 0.27e0 + 0.05e0 + (s_suppkey % 6) * 0.05e0 as east, 42.0e0 + (s_suppkey % 17) * 0.2e0 + 0.04e0 + (s_suppkey % 5) * 0.03e0 as north, 540.0e0 as width_pt, 720.0e0 as height_pt from supplier",
+}
