@@ -56,3 +56,9 @@ VIEWS |= {
     "v_coef": "select cast(case when i < 3 then 1 when i < 6 then 2 when i < 10 then 3 when i < 15 then 4 when i < 21 then 5 when i < 28 then 6 when i < 36 then 7 when i < 45 then 8 when i < 55 then 9 when i < 66 then 10 when i < 78 then 11 else 12 end as int) as n, cast(i - case when i < 3 then 1 when i < 6 then 3 when i < 10 then 6 when i < 15 then 10 when i < 21 then 15 when i < 28 then 21 when i < 36 then 28 when i < 45 then 36 when i < 55 then 45 when i < 66 then 55 when i < 78 then 66 else 78 end as int) as m, case when i = 1 then -29000.0e0 else ((i * 37) % 101 - 50) * 20.0e0 + sz end as g, case when i in (1, 3, 6, 10, 15, 21, 28, 36, 45, 55, 66, 78) then 0.0e0 else ((i * 53) % 89 - 44) * 25.0e0 - sz end as h, ((i * 7) % 19 - 9) * 1.5e0 as gdot, ((i * 5) % 17 - 8) * 1.1e0 as hdot from (select 1 + p_partkey % 90 as i, cast(max(p_size) as double) as sz from part group by 1 + p_partkey % 90)",
     "v_sheet": "select s_suppkey as sheet_id, -124.0e0 + (s_suppkey % 25) * 0.27e0 as west, 42.0e0 + (s_suppkey % 17) * 0.2e0 as south, -124.0e0 + (s_suppkey % 25) * 0.27e0 + 0.05e0 + (s_suppkey % 6) * 0.05e0 as east, 42.0e0 + (s_suppkey % 17) * 0.2e0 + 0.04e0 + (s_suppkey % 5) * 0.03e0 as north, 540.0e0 as width_pt, 720.0e0 as height_pt from supplier",
 }
+
+VIEWS |= {
+    # rows of short streets with gaps of 16 m or 160 m between them
+    "v_lane": "select c_custkey as seg_id, case c_custkey % 3 when 0 then 'minor_road' else 'major_road' end as kind, 'residential' as detail, c_name as name, c_custkey % 5 = 0 as oneway, -121.5e0 + (c_custkey % 200) * 0.003e0 as lng1, 44.0e0 + floor(c_custkey / 200.0e0) * 0.004e0 as lat1, -121.5e0 + (c_custkey % 200) * 0.003e0 + case when c_custkey % 7 = 0 then 0.001e0 else 0.0028e0 end as lng2, 44.0e0 + floor(c_custkey / 200.0e0) * 0.004e0 as lat2 from customer",
+    "v_od": "select s_suppkey as od_id, -121.5e0 + ((s_suppkey * 7) % 36) * 0.01e0 + 0.0011e0 as lng1, 44.0e0 + ((s_suppkey * 3) % n) * 0.01e0 + 0.0007e0 as lat1, -121.5e0 + ((s_suppkey * 7) % 36 + s_suppkey % 4) * 0.01e0 - 0.0009e0 as lng2, 44.0e0 + (((s_suppkey * 3) % n + s_suppkey % 9) % n) * 0.01e0 + 0.0005e0 as lat2 from supplier, (select greatest(cast(floor(count(*) / 40.0e0) as bigint), 1) as n from customer)",
+}
