@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("spatial_queries", "path_queries", "terrain_queries", "place_queries", "rule_queries", "geodesy_queries", "quality_queries", "graph_queries")
+MODULES = ("spatial_queries", "path_queries", "terrain_queries", "place_queries", "rule_queries", "geodesy_queries", "quality_queries", "graph_queries", "stream_queries")
 
 
 def load() -> None:
