@@ -66,7 +66,8 @@ def starts_with_word(name: Column, *words: str) -> Column:
 
 
 def fixed(c, places: int) -> Column:
-    return F.format_string(f"%.{places}f", col(c))
+    """Decimal text rounded by the exact binary value (``%f`` would round the shortest decimal instead)."""
+    return F.translate(F.format_number(col(c), places), ",", "")
 
 
 def miles_text(metres) -> Column:

@@ -5,10 +5,12 @@ from __future__ import annotations
 import math
 from fractions import Fraction
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import cells, geo
+from ..functions import cells, geo, text
 from ..functions.lookup import first_match
 from . import paths, spatial
 
@@ -180,12 +182,6 @@ def legendre_polynomial(n: int, m: int) -> list[float]:
     return out
 
 
-def _basis_literal() -> Column:
-    """Polynomials of every (n, m), at position n(n+1)/2 + m."""
-    rows = [legendre_polynomial(n, m) for n in range(1, MAG_DEGREE + 1) for m in range(n + 1)]
-    return F.array(*[F.array(*[F.lit(c) for c in p]) for p in rows])
-
-
 def decimal_year(ts) -> Column:
     year = F.year(ts)
     start, end = F.make_timestamp(year, F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0)), F.make_timestamp(
@@ -197,60 +193,51 @@ def decimal_year(ts) -> Column:
 def field_model(points: DataFrame, coef: DataFrame) -> DataFrame:
     """Declination, inclination (degrees) and intensity (nT) for points with lng, lat, alt_km, year.
 
-    The model has at most 90 coefficient rows (degree 12), so it is folded into one row and attached to every
-    point: the sum over the harmonics is a projection, without a shuffle or a 90-fold expansion of the points.
+    A model has at most 90 coefficient rows (degree 12); they go to the tasks with the function, and the sum over
+    the harmonics is a vectorised projection.  Joining the rows to every point would multiply the points by 90 and
+    shuffle them; higher-order functions need milliseconds per point.
     """
-    model = (
+    rows = (
         coef.where(F.col("n").between(1, MAG_DEGREE) & F.col("m").between(0, F.col("n")))
-        .dropDuplicates(["n", "m"])
-        .agg(F.sort_array(F.collect_list(F.struct("n", "m", "g", "h", "gdot", "hdot"))).alias("_model"))
-        .withColumn("_basis", _basis_literal())
-    )
-    d = points.where((F.col("year") >= MAG_EPOCH) & (F.col("year") < MAG_EPOCH + MAG_YEARS)).crossJoin(F.broadcast(model))
-    e2 = 1 - (MAG_B_KM / MAG_A_KM) ** 2
-    phi = F.radians(F.greatest(F.lit(-89.9999), F.least(F.lit(89.9999), F.col("lat"))))
-    rc = F.lit(MAG_A_KM) / F.sqrt(1 - F.lit(e2) * F.sin(phi) * F.sin(phi))
-    alt = F.coalesce("alt_km", F.lit(0.0))
-    d = d.withColumn("_phi", phi).withColumn("_p", (rc + alt) * F.cos(phi)).withColumn("_z", (rc * (1 - e2) + alt) * F.sin(phi))
-    d = d.withColumn("_r", F.hypot("_p", "_z")).withColumn("_g", F.asin(F.col("_z") / F.col("_r")))
-    d = d.withColumn("_s", F.sin("_g")).withColumn("_c", F.cos("_g")).withColumn("_lam", F.radians("lng"))
-    d = d.withColumn("_t", F.col("year") - MAG_EPOCH)
-    s, c, lam, t = F.col("_s"), F.col("_c"), F.col("_lam"), F.col("_t")
-    zero = F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))
-
-    def term(acc, k):
-        poly = F.element_at("_basis", (k["n"] * (k["n"] + 1) / 2 + k["m"]).cast("int"))
-        # value and derivative of the polynomial in one Horner pass
-        pair = F.aggregate(
-            F.reverse(poly), F.struct(F.lit(0.0).alias("v"), F.lit(0.0).alias("d")),
-            lambda a, b: F.struct((a["v"] * s + b).alias("v"), (a["d"] * s + a["v"]).alias("d")),
-        )
-        m, n = k["m"].cast("double"), k["n"].cast("double")
-        p = F.pow(c, m) * pair["v"]
-        dp = F.pow(c, m + 1) * pair["d"] - m * s * F.pow(c, m - 1) * pair["v"]
-        g, h = k["g"] + t * k["gdot"], k["h"] + t * k["hdot"]
-        gc, gs = g * F.cos(m * lam) + h * F.sin(m * lam), g * F.sin(m * lam) - h * F.cos(m * lam)
-        w = F.pow(F.lit(MAG_RE_KM) / F.col("_r"), n + 2)
-        return F.struct(
-            (acc["x"] - w * gc * dp).alias("x"), (acc["y"] + w * m * gs * p / c).alias("y"),
-            (acc["z"] - w * (n + 1) * gc * p).alias("z"),
-        )
-
-    d = d.withColumn("_f", F.aggregate("_model", zero, term)).withColumn("_d", F.col("_g") - F.col("_phi"))
-    x = F.col("_f.x") * F.cos("_d") - F.col("_f.z") * F.sin("_d")
-    z = F.col("_f.x") * F.sin("_d") + F.col("_f.z") * F.cos("_d")
-    d = d.withColumn("_x", x).withColumn("_y", F.col("_f.y")).withColumn("_zz", z)
-    h = F.hypot("_x", "_y")
-    return d.select(
-        *points.columns, F.degrees(F.atan2("_y", "_x")).alias("declination"),
-        F.degrees(F.atan2(F.col("_zz"), h)).alias("inclination"), F.hypot(h, F.col("_zz")).alias("intensity"),
+        .groupBy("n", "m").agg(F.first(F.struct("g", "h", "gdot", "hdot")).alias("c")).select("n", "m", "c.*").collect()
     )
+    model = [(r.n, r.m, r.g, r.h, r.gdot, r.hdot, legendre_polynomial(r.n, r.m)) for r in rows]
+
+    @F.pandas_udf("declination double, inclination double, intensity double")
+    def field(lng: pd.Series, lat: pd.Series, alt_km: pd.Series, year: pd.Series) -> pd.DataFrame:
+        t, lam = year.to_numpy() - MAG_EPOCH, np.radians(lng.to_numpy())
+        phi = np.radians(np.clip(lat.to_numpy(), -89.9999, 89.9999))
+        e2, alt = 1 - (MAG_B_KM / MAG_A_KM) ** 2, alt_km.fillna(0.0).to_numpy()
+        rc = MAG_A_KM / np.sqrt(1 - e2 * np.sin(phi) ** 2)
+        p, z = (rc + alt) * np.cos(phi), (rc * (1 - e2) + alt) * np.sin(phi)
+        r = np.hypot(p, z)
+        gc_lat = np.arcsin(z / r)
+        s, c = np.sin(gc_lat), np.cos(gc_lat)
+        north, east, down = np.zeros_like(s), np.zeros_like(s), np.zeros_like(s)
+        for n, m, g0, h0, gd, hd, poly in model:
+            v = np.polynomial.polynomial.polyval(s, poly)
+            dv = np.polynomial.polynomial.polyval(s, np.polynomial.polynomial.polyder(poly))
+            val, slope = c**m * v, c ** (m + 1) * dv - m * s * c ** (m - 1.0) * v
+            g, h, w = g0 + t * gd, h0 + t * hd, (MAG_RE_KM / r) ** (n + 2)
+            along = g * np.cos(m * lam) + h * np.sin(m * lam)
+            north -= w * along * slope
+            east += w * m * (g * np.sin(m * lam) - h * np.cos(m * lam)) * val / c
+            down -= w * (n + 1) * along * val
+        d = gc_lat - phi
+        x, z = north * np.cos(d) - down * np.sin(d), north * np.sin(d) + down * np.cos(d)
+        hor = np.hypot(x, east)
+        return pd.DataFrame({
+            "declination": np.degrees(np.arctan2(east, x)), "inclination": np.degrees(np.arctan2(z, hor)), "intensity": np.hypot(hor, z),
+        })
+
+    d = points.where((F.col("year") >= MAG_EPOCH) & (F.col("year") < MAG_EPOCH + MAG_YEARS))
+    return d.withColumn("_f", field("lng", "lat", "alt_km", "year")).select(*points.columns, "_f.*")
 
 
 def declination_text(deg) -> Column:
     a = F.abs(geo.col(deg))
     return F.when(a < 0.05, "0°").otherwise(
-        F.concat(F.format_string("%.1f", a), F.lit("° "), F.when(geo.col(deg) > 0, "E").otherwise("W"))
+        F.concat(text.fixed(a, 1), F.lit("° "), F.when(geo.col(deg) > 0, "E").otherwise("W"))
     )
 
 
@@ -292,7 +279,7 @@ def scale_bar(max_m, unit: str = "imperial") -> tuple[Column, Column]:
     ok = m > 0
 
     def words(n, u):
-        return F.concat(F.regexp_replace(F.format_string("%.6f", n), r"\.?0+$", ""), F.lit(u))
+        return F.concat(F.regexp_replace(text.fixed(n, 6), r"\.?0+$", ""), F.lit(u))
 
     if unit == "metric":
         km, mm = _one_two_five(m / 1000), _one_two_five(m)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import cells, geo
+from ..functions import cells, geo, text
 from ..functions.lookup import lookup
 
 # Fixed values.
@@ -104,7 +104,7 @@ def relative_to(viewers: DataFrame, nodes: DataFrame, group: str) -> DataFrame:
     miles = F.col("dist_m") / geo.METRES_PER_MILE
     near = F.concat(geo.round_half_up(F.col("dist_m") * geo.FEET_PER_METRE).cast("string"), F.lit(" ft"))
     far = F.concat(
-        F.when(miles < 10, F.format_string("%.2f", miles)).otherwise(F.format_string("%.1f", miles)), F.lit(" mi")
+        F.when(miles < 10, text.fixed(miles, 2)).otherwise(text.fixed(miles, 1)), F.lit(" mi")
     )
     return (
         j.withColumn("dist_m", m)

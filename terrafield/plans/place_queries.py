@@ -76,7 +76,7 @@ _MV_NAMES = """case mvum_id % 6 when 0 then 'CHINA HAT RD' when 1 then ' dog MTN
 @query(
     "r9_mvum_places",
     f"""
-select mvum_id as place_id, {q.case_map('mvum_id % 6', {0: 'China Hat Rd', 1: 'Dog Mtn. Th', 2: 'B.p.a 12', 3: '4600-471 Spur', 4: 'C.G Road'})} as name,
+select distinct mvum_id as place_id, {q.case_map('mvum_id % 6', {0: 'China Hat Rd', 1: 'Dog Mtn. Th', 2: 'B.p.a 12', 3: '4600-471 Spur', 4: 'C.G Road'})} as name,
  round(lng2, 6) as lng, round(lat2, 6) as lat from v_mvum m where mvum_id % 6 <> 5 and exists (select 1 from v_catalog r where
   m.lng2 between r.west - 0.05e0 and r.east + 0.05e0 and m.lat2 between r.south - 0.05e0 and r.north + 0.05e0)
 """.replace("'B.p.a 12'", "'B.P.A 12'"),

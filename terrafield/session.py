@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,13 +39,15 @@ def _ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back.
+    """Write ``df`` as a table in the shared checkpoint folder and read it back.
 
-    Iterative jobs call this once per round: the plan stays small, and a lost executor costs a re-read rather
-    than a replay of every earlier round.
+    Iterative jobs call this once per round: the plan stays small, a lost executor costs a re-read rather than a
+    replay of every earlier round, and the next join sees real sizes.  (``checkpoint()`` carries the constraints of
+    its plan along, which double with every self-join of a pointer-doubling loop.)
     """
-    _ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = scratch_path(df.sparkSession, f"step-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
