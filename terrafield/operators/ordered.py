@@ -9,9 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 CHUNK = 250_000  # order units per chunk
 BOUNDED = None  # for keys whose rows are bounded by construction (a profile has 256 samples): one plain window
@@ -131,39 +133,44 @@ def scan_sorted(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    make_state: Callable[[], object],
-    step: Callable[[object, pd.DataFrame], pd.DataFrame | None],
-    finish: Callable[[tuple, object], pd.DataFrame | None],
+    make_state: Callable[[], dict],
+    step: Callable[[dict, tuple, dict[str, list], list], None],
+    finish: Callable[[dict, tuple, list], None],
     schema: str,
 ) -> DataFrame:
     """Feed every key's rows, in order, through ``step`` one Arrow batch at a time.
 
     For folds whose next value depends on the whole past.  Spark shuffles and sorts (spilling to disk); a task
-    holds one batch and one ``state``, never a whole key.
+    holds one batch and one ``state``, never a whole key.  ``step`` and ``finish`` append output tuples.
     """
     keys, order = list(keys), list(order)
+    columns = [f.name for f in StructType.fromDDL(schema).fields]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, state = None, None
         for batch in batches:
             if batch.empty:
                 continue
-            ids = list(zip(*[batch[k] for k in keys])) if len(keys) > 1 else [(v,) for v in batch[keys[0]]]
-            change = [0] + [i for i in range(1, len(ids)) if ids[i] != ids[i - 1]] + [len(ids)]
-            for lo, hi in zip(change, change[1:]):
-                key = ids[lo]
+            change = np.zeros(len(batch), dtype=bool)
+            for k in keys:
+                v = batch[k].to_numpy()
+                change[1:] |= v[1:] != v[:-1]
+            cuts = [0, *np.flatnonzero(change).tolist(), len(batch)]
+            values = {c: batch[c].tolist() for c in batch.columns}
+            out: list[tuple] = []
+            for lo, hi in zip(cuts, cuts[1:]):
+                key = tuple(values[k][lo] for k in keys)
                 if key != current:
                     if current is not None:
-                        done = finish(current, state)
-                        if done is not None:
-                            yield done
+                        finish(state, current, out)
                     current, state = key, make_state()
-                out = step(state, batch.iloc[lo:hi])
-                if out is not None and len(out):
-                    yield out
+                step(state, key, {c: v[lo:hi] for c, v in values.items()}, out)
+            if out:
+                yield pd.DataFrame(out, columns=columns)
         if current is not None:
-            done = finish(current, state)
-            if done is not None:
-                yield done
+            out = []
+            finish(state, current, out)
+            if out:
+                yield pd.DataFrame(out, columns=columns)
 
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,12 +23,11 @@ def merge_intervals(intervals: DataFrame, key: str, seq: str, max_gap: int = MAX
     types = dict(intervals.dtypes)
     schema = f"{key} {types[key]}, batch_no bigint, start bigint, length bigint, members bigint"
 
-    def row(k, s) -> dict:
-        return {key: k, "batch_no": s["no"], "start": s["lo"], "length": s["hi"] - s["lo"], "members": s["n"]}
+    def close(s: dict, k: tuple, out: list) -> None:
+        out.append((k[0], s["no"], s["lo"], s["hi"] - s["lo"], s["n"]))
 
-    def step(s: dict, rows: pd.DataFrame) -> pd.DataFrame:
-        k, closed = rows[key].iloc[0], []
-        for start, length in zip(rows["start"].tolist(), rows["length"].tolist()):
+    def step(s: dict, k: tuple, rows: dict[str, list], out: list) -> None:
+        for start, length in zip(rows["start"], rows["length"]):
             end = start + length
             if s:
                 gap = max(start - s["hi"], s["lo"] - end, 0)
@@ -37,14 +35,10 @@ def merge_intervals(intervals: DataFrame, key: str, seq: str, max_gap: int = MAX
                 if gap <= max_gap and hi - lo <= max_span:
                     s.update(lo=lo, hi=hi, n=s["n"] + 1)
                     continue
-                closed.append(row(k, s))
+                close(s, k, out)
             s.update(no=s.get("no", -1) + 1, lo=start, hi=end, n=1)
-        return pd.DataFrame(closed)
 
-    return ordered.scan_sorted(
-        intervals.select(key, seq, "start", "length"), [key], [seq], dict, step,
-        lambda k, s: pd.DataFrame([row(k[0], s)]), schema,
-    )
+    return ordered.scan_sorted(intervals.select(key, seq, "start", "length"), [key], [seq], dict, step, close, schema)
 
 
 def refine_fix(requests: DataFrame, fixes: DataFrame) -> DataFrame:
