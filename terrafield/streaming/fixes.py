@@ -25,49 +25,60 @@ class RefineFix(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.best = handle.getValueState("best", "seq bigint, lng double, lat double, accuracy double, done boolean")
+        self.state = handle.getValueState("state", "seq bigint, lng double, lat double, accuracy double, deadline double, done boolean")
 
-    def _timer(self, at_ms: int) -> None:
+    def _load(self) -> tuple:
+        """(best fix or None, deadline or None, done)"""
+        if not self.state.exists():
+            return None, None, False
+        seq, lng, lat, acc, deadline, done = self.state.get()
+        return (None if seq < 0 else (seq, lng, lat, acc)), (None if deadline < 0 else deadline), done
+
+    def _save(self, best, deadline, done: bool) -> None:
+        self.state.update((*(best or (-1, 0.0, 0.0, 0.0)), -1.0 if deadline is None else deadline, done))
+
+    def _timer(self, deadline: float) -> None:
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t[0] if isinstance(t, tuple) else t)
-        self.handle.registerTimer(at_ms)
+        self.handle.registerTimer(int(deadline * 1000))
 
-    def _result(self, key, status, best) -> pd.DataFrame:
+    def _result(self, key, best) -> pd.DataFrame:
         seq, lng, lat, acc = best if best else (None, None, None, None)
         return pd.DataFrame({
-            "request_id": [key[0]], "status": [status], "seq": pd.array([seq], dtype="Int64"), "lng": [lng], "lat": [lat],
-            "accuracy": [None if acc == _INF else acc],
+            "request_id": [key[0]], "status": ["ok" if best else "timeout"], "seq": pd.array([seq], dtype="Int64"), "lng": [lng],
+            "lat": [lat], "accuracy": [None if acc == _INF else acc],
         })
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        state = self.best.get() if self.best.exists() else None
-        if state is not None and state[4]:
+        best, deadline, done = self._load()
+        if done:
             return
-        best = (state[0], state[1], state[2], state[3]) if state is not None else None
+        before = deadline
         for r in pd.concat(list(rows)).sort_values(["t", "seq"]).itertuples():
-            if r.seq < 0:
+            # one trigger may bring rows from both sides of the deadline
+            over = deadline is not None and r.t > deadline
+            if not over and r.seq < 0:
+                deadline = r.t + HARD_S if deadline is None else deadline
+            elif not over:
+                acc = _INF if pd.isna(r.accuracy) else float(r.accuracy)
                 if best is None:
-                    self._timer(int((r.t + HARD_S) * 1000))
-                continue
-            acc = _INF if pd.isna(r.accuracy) else float(r.accuracy)
-            if best is None:
-                self._timer(int((r.t + REFINE_S) * 1000))
-            if best is None or acc < best[3]:
-                best = (int(r.seq), float(r.lng), float(r.lat), acc)
-            if best[3] <= GOOD_ENOUGH_M:
-                self.best.update((*best, True))
-                yield self._result(key, "ok", best)
+                    deadline = r.t + REFINE_S
+                if best is None or acc < best[3]:
+                    best = (int(r.seq), float(r.lng), float(r.lat), acc)
+                over = best[3] <= GOOD_ENOUGH_M
+            if over:
+                self._save(best, deadline, True)
+                yield self._result(key, best)
                 return
-        if best is not None:
-            self.best.update((*best, False))
+        self._save(best, deadline, False)
+        if deadline is not None and deadline != before:
+            self._timer(deadline)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        state = self.best.get() if self.best.exists() else None
-        if state is not None and state[4]:
-            return
-        best = tuple(state[:4]) if state is not None else None
-        self.best.update((*(best or (-1, 0.0, 0.0, 0.0)), True))
-        yield self._result(key, "ok" if best else "timeout", best)
+        best, deadline, done = self._load()
+        if not done:
+            self._save(best, deadline, True)
+            yield self._result(key, best)
 
     def close(self) -> None:
         pass
