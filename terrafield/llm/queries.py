@@ -2,31 +2,51 @@
 
 from __future__ import annotations
 
+import uuid
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, host_reputation, shards, twins
+from ..session import scratch_path
+from . import byte_bpe, exact_dedup, host_reputation, packing, shards, token_files, twins
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_path(spark, f"ids-{uuid.uuid4().hex}")
+    token_files.write_token_files(_read(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return token_files.read_token_digests(spark, folder)
+
 
 def op3_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_rows(_read(spark, sf_dir, "documents"))
 
 
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.round_trip_digests(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 def op7_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_reputation.judge_urls(_read(spark, sf_dir, "pages"), _read(spark, sf_dir, "labels"))
 
 
+def op8_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), digest=True)
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_read(spark, sf_dir, "documents"), carry={"text_sha256": F.sha2("__norm", 256)})
 
 
 QUERIES = {
+    "op2_token_files": (op2_token_files, None),
     "op3_feistel_shards": (op3_feistel_shards, None),
+    "op6_byte_bpe": (op6_byte_bpe, None),
     "op7_host_reputation": (op7_host_reputation, twins.HOST_REPUTATION),
+    "op8_best_two_fit": (op8_best_two_fit, None),
     "op9_exact_dedup": (op9_exact_dedup, twins.EXACT_DEDUP),
 }
