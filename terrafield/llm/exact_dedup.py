@@ -33,14 +33,15 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ``carry`` holds expressions over ``__norm``, ``__chars`` and ``__id``; they decide nothing.
 
     The scan yields lengths and prefix hashes, a few bytes a row.  Row counts per length leave the lengths that occur
-    twice, counts per (length, prefix hash) the pairs that do; only rows of those have their whole content hashed.
+    twice, and of their (length, prefix hash) pairs those that do; only rows of those have their whole content hashed.
     All groups are counted with partial sums, so a group of any size is a handful of rows when it is shuffled.
     """
     carry = carry or {}
     names = list(carry)
     cheap = cut_lineage(_cheap(docs, id_col, text_col, prefix_chars, carry).drop("__norm"))
-    lengths = cheap.groupBy("__len").count().filter("count > 1").select("__len")
-    keys = cut_lineage(cheap.join(lengths, "__len", "left_semi").groupBy("__len", "__prefix").count().filter("count > 1").select("__len", "__prefix"))
+    pairs = cheap.groupBy("__len", "__prefix").agg(F.count("*").alias("__rows"))
+    lengths = pairs.groupBy("__len").agg(F.sum("__rows").alias("__all")).filter("__all > 1").select("__len")
+    keys = cut_lineage(pairs.join(lengths, "__len", "left_semi").filter("__rows > 1").select("__len", "__prefix"))
     full = cut_lineage(
         _cheap(docs, id_col, text_col, prefix_chars, {"__norm_": F.col("__norm"), **carry}).join(keys, ["__len", "__prefix"], "left_semi")
         .select("__id", "__chars", F.sha2("__norm_", 256).alias("__hash"), *names)
