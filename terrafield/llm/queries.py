@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import byte_bpe, exact_dedup, host_reputation, packing, quality, shards, token_files, twins
+from . import byte_bpe, exact_dedup, host_reputation, near_dedup, packing, quality, secrets, shards, token_files, twins
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op4_robust_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_quality(_read(spark, sf_dir, "documents"))
 
 
+def op5_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(_read(spark, sf_dir, "documents")).drop("first")
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip_digests(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
@@ -46,12 +50,18 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_read(spark, sf_dir, "documents"), carry={"text_sha256": F.sha2("__norm", 256)})
 
 
+def op10_secret_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_digests(_read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_token_files": (op2_token_files, None),
     "op3_feistel_shards": (op3_feistel_shards, None),
     "op4_robust_quality": (op4_robust_quality, quality.twin_sql()),
+    "op5_hyperminhash": (op5_hyperminhash, None),
     "op6_byte_bpe": (op6_byte_bpe, None),
     "op7_host_reputation": (op7_host_reputation, twins.HOST_REPUTATION),
     "op8_best_two_fit": (op8_best_two_fit, None),
     "op9_exact_dedup": (op9_exact_dedup, twins.EXACT_DEDUP),
+    "op10_secret_entropy": (op10_secret_entropy, None),
 }
