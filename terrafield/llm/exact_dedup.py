@@ -64,9 +64,9 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     Rows that repeat an id and a text count as one; one of them stays.
     """
-    carry = {"__sha": F.sha2(F.col("__norm"), 256), "__n": F.col("__chars")}
-    gone = exact_groups(docs, id_col, text_col, carry=carry).groupBy(F.col(id_col).alias("__gid"), "__sha", "__n").agg(F.max("kept").alias("any")).filter("not any").drop("any")
-    keyed = docs.withColumns({"__sha_": F.sha2(normalised(F.col(text_col)), 256), "__n_": F.length(whole(F.col(text_col))).cast("long")})
-    left = keyed.join(gone, F.col(id_col).eqNullSafe(F.col("__gid")) & (F.col("__sha_") == F.col("__sha")) & (F.col("__n_") == F.col("__n")), "left_anti")
-    first = F.row_number().over(Window.partitionBy(id_col, "__sha_", "__n_").orderBy(F.col(text_col)))
+    carry = {"__g_sha": F.sha2(F.col("__norm"), 256), "__g_chars": F.col("__chars")}
+    gone = exact_groups(docs, id_col, text_col, carry=carry).groupBy(F.col(id_col).alias("__gid"), "__g_sha", "__g_chars").agg(F.max("kept").alias("any")).filter("not any").drop("any")
+    keyed = docs.withColumns({"__sha": F.sha2(normalised(F.col(text_col)), 256), "__n": F.length(whole(F.col(text_col))).cast("long")})
+    left = keyed.join(gone, F.col(id_col).eqNullSafe(F.col("__gid")) & (F.col("__sha") == F.col("__g_sha")) & (F.col("__n") == F.col("__g_chars")), "left_anti")
+    first = F.row_number().over(Window.partitionBy(id_col, "__sha", "__n").orderBy(F.col(text_col)))
     return left.withColumn("__first", first).filter("__first = 1").select(*docs.columns)
