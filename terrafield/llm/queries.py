@@ -9,13 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import byte_bpe, exact_dedup, host_reputation, near_dedup, packing, quality, secrets, shards, token_files, twins
+from . import byte_bpe, exact_dedup, host_reputation, line_dedup, near_dedup, packing, quality, secrets, shards, token_files, twins
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_digests(_read(spark, sf_dir, "documents"))
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, f"ids-{uuid.uuid4().hex}")
     token_files.write_token_files(_read(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
@@ -55,6 +59,7 @@ def op10_secret_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_line_dedup": (op1_line_dedup, twins.LINE_DEDUP),
     "op2_token_files": (op2_token_files, None),
     "op3_feistel_shards": (op3_feistel_shards, None),
     "op4_robust_quality": (op4_robust_quality, quality.twin_sql()),

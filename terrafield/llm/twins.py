@@ -40,3 +40,18 @@ fit as (select page_id, host, path, rhost || rpath as rule, verdict, row_number(
 select p.page_id, p.host, p.path, fit.rule, coalesce(fit.verdict, case when bad.host is null then 'allow' else 'block' end) as verdict
 from p left join fit on fit.k = 1 and p.page_id is not distinct from fit.page_id and p.host = fit.host and p.path = fit.path left join bad on p.host = bad.host
 """
+
+LINE_DEDUP = r"""
+with l as (select doc_id, no - 1 as no, ls[no] as line from (select doc_id, ls, unnest(range(1, len(ls) + 1)) as no from (select doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents))),
+b as (select *, trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) = '' as blank from l),
+f as (select *, row_number() over (partition by blank, line order by doc_id nulls last, no) as k from b),
+d as (select row_number() over (order by doc_id nulls last, no) as r, line, length(line) as n from f where not blank and k = 1),
+v as (select r, n, line, p, line[:p - 1] || line[p + 1:] as x from (select r, n, line, unnest(range(1, n + 1)) as p from d where n >= 16)),
+sub as (select r from (select r, min(r) over (partition by x, p, n) as m from v) where m < r),
+ins as (select distinct v.r as a, d.r as b from v join d on v.x = d.line and d.n >= 16),
+near as (select r from sub union select greatest(a, b) from ins where a <> b),
+w as (select f.doc_id, f.no, case when blank then 'keep' when k > 1 then 'exact' when near.r is not null then 'near' else 'keep' end as verdict
+      from f left join d on not f.blank and f.k = 1 and f.line = d.line left join near on near.r = d.r)
+select doc_id, count(*) as n_lines, count(case when verdict = 'exact' then 1 end) as n_exact, count(case when verdict = 'near' then 1 end) as n_near,
+  coalesce(string_agg(case when verdict <> 'keep' then cast(no as varchar) end, ',' order by no), '') as dropped from w group by doc_id
+"""
