@@ -68,5 +68,5 @@ QUERIES = {
     "op7_host_reputation": (op7_host_reputation, twins.HOST_REPUTATION),
     "op8_best_two_fit": (op8_best_two_fit, None),
     "op9_exact_dedup": (op9_exact_dedup, twins.EXACT_DEDUP),
-    "op10_secret_entropy": (op10_secret_entropy, None),
+    "op10_secret_entropy": (op10_secret_entropy, twins.secret_sql()),
 }

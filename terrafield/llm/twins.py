@@ -55,3 +55,38 @@ w as (select f.doc_id, f.no, case when blank then 'keep' when k > 1 then 'exact'
 select doc_id, count(*) as n_lines, count(case when verdict = 'exact' then 1 end) as n_exact, count(case when verdict = 'near' then 1 end) as n_near,
   coalesce(string_agg(case when verdict <> 'keep' then cast(no as varchar) end, ',' order by no), '') as dropped from w group by doc_id
 """
+
+
+def secret_sql() -> str:
+    """Base spans by splitting at the matches; entropy by counting every window afresh."""
+    from .secrets import ACCESS, ASSIGN, KINDS, LEAST_VALUE, Entropy
+
+    e = Entropy()
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+
+    def spans(name: str, pattern: str, kind: int, more: str = "true") -> str:
+        p = quote(pattern)
+        return f"""{name}_f as materialized (select rid, t, regexp_extract_all(t, {p}) as found, string_split_regex(t, {p}) as gaps, regexp_extract_all(t, {p}, {1 if kind == 0 else 0}) as val from d where regexp_matches(t, {p})),
+{name} as (select rid, s as start, {kind} as kind, s + length(m) as end_, m, t from (select rid, t, found[i] as m, val[i] as x, list_sum(list_transform(gaps[:i], lambda g: length(g))) + coalesce(list_sum(list_transform(found[:i - 1], lambda g: length(g))), 0) as s from (select *, unnest(range(1, len(found) + 1)) as i from {name}_f)) where {more})"""
+
+    ctes = ["d as (select row_number() over () as rid, doc_id, coalesce(text, '') as t from documents)"]
+    ctes += [spans("assign", ASSIGN.replace("(?i:", "(?:(?i)"), 0, f"length(x) >= {LEAST_VALUE}"), spans("access", ACCESS, 1), spans("hexa", "[0-9a-f]{24,}", 2)]
+    weights = "[" + ", ".join(map(str, e.weights()[1:])) + "]"
+    for c in e.classes:
+        run = "[" + "".join("\\" + x if x in "-/+=_" else x for x in c.letters) + "]"
+        fit = " and ".join(["regexp_matches(m, '[0-9]')", "regexp_matches(m, '[A-Za-z]')", *[f"not regexp_matches(m, {quote(a)})" for a in e.allowed]])
+        ctes += [
+            spans(f"c_{c.name}", f"{run}{{{e.window},}}", 3, fit),
+            f"w_{c.name} as (select rid, start, m, i, list_sum(list_transform(list_distinct(string_split(w, '')), lambda x: {weights}[len(list_filter(string_split(w, ''), lambda y: y = x))])) as s from (select rid, start, m, i, m[i + 1:i + {e.window}] as w from (select *, unnest(range(0, length(m) - {e.window - 1})) as i from c_{c.name})))",
+            f"h_{c.name} as (select *, case when i - lag(i) over (partition by rid, start order by i) <= {e.window} then 0 else 1 end as new from w_{c.name} where s <= {e.most(c)})",
+            f"e_{c.name} as (select rid, start + min(i) as start, 3 as kind, start + max(i) + {e.window} as end_ from (select *, sum(new) over (partition by rid, start order by i) as island from h_{c.name}) group by rid, start, island)",
+        ]
+    union = " union ".join(f"select rid, start, kind, end_ from e_{c.name}" for c in e.classes)
+    ctes.append("base as (" + " union all ".join(f"select rid, start, kind, end_ from {n}" for n in ("assign", "access", "hexa")) + ")")
+    ctes.append(f"every as (select * from base union all ({union}))")
+    kinds = "[" + ", ".join(map(quote, KINDS)) + "]"
+    text = f"string_agg({kinds}[kind + 1] || ':' || start || ':' || end_, ',' order by start, kind, end_)"
+    counts = ", ".join(f"count(case when kind = {i} then 1 end) as n_{k}" for i, k in enumerate(KINDS[:3]))
+    return "with " + ",\n".join(ctes) + f"""
+select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, sha256(coalesce(b, '')) as base_sha256, coalesce(a, '') as spans
+from d left join (select rid, {counts}, {text} as b from base group by rid) x on x.rid = d.rid left join (select rid, {text} as a from every group by rid) y on y.rid = d.rid"""
