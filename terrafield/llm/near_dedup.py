@@ -132,27 +132,79 @@ def keys(sets: list[np.ndarray], regs: np.ndarray, k: Sketch) -> list[list[tuple
     return out
 
 
-def sketch_table(docs: DataFrame, k: Sketch, id_col: str, text_col: str) -> DataFrame:
-    """Per row: ``__id``, ``n``, ``k1``, ``k2`` (128 bits of the set), ``keys``, ``regs`` and ``set`` (binary)."""
+def _by_row(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), F.xxhash64(id_col).alias("h"))
+
+
+def _identity(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of each set."""
+    with np.errstate(over="ignore"):
+        k1 = np.array([_mix(s).sum(dtype=np.uint64) for s in sets], np.uint64)
+        k2 = np.array([_mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) for s in sets], np.uint64)
+    return k1.view(np.int64), k2.view(np.int64)
+
+
+def sketch_table(rows: DataFrame, k: Sketch) -> DataFrame:
+    """Per row: ``__id``, ``h``, ``n``, ``k1``, ``k2`` and ``keys``.  Sets and registers are made again for the few rows
+    that need them: they are larger than the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
                 sets = shingle_sets([t or "" for t in batch.column(1).to_pylist()])
-                regs = registers(sets, k)
-                own = keys(sets, regs, k)
-                with np.errstate(over="ignore"):
-                    k1 = [int(_mix(s).sum(dtype=np.uint64).view(np.int64)) for s in sets]
-                    k2 = [int(_mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64)) for s in sets]
+                own = keys(sets, registers(sets, k), k)
+                k1, k2 = _identity(sets)
                 pairs = pa.array([[{"band": b, "key": x} for b, x in o] for o in own], pa.list_(pa.struct([("band", pa.int32()), ("key", pa.int64())])))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(k1), pa.array(k2), pairs], names=["__id", "h", "n", "k1", "k2", "keys"])
+
+    kind = rows.schema["__id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"__id {kind}, h long, n long, k1 long, k2 long, keys array<struct<band:int,key:long>>")
+
+
+FILTER_BITS = 26
+
+
+def _bit_of(h: np.ndarray, k1: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return (_mix(h.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + k1.view(np.uint64)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+
+
+def row_filter(wanted: DataFrame) -> np.ndarray:
+    """A bitmap of the rows (h, k1) in ``wanted``, of 8 MB at any size; a full one only lets more rows pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bit = _bit_of(batch.column(0).to_numpy(), batch.column(1).to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(bit >> 6), pa.array(np.left_shift(np.uint64(1), (bit & 63).astype(np.uint64)).view(np.int64))], names=["word", "bits"])
+
+    words = wanted.select("h", "k1").mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
+    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    return np.unpackbits(out.view(np.uint8), bitorder="little")
+
+
+def content_table(rows: DataFrame, passing: np.ndarray, k: Sketch) -> DataFrame:
+    """``h``, ``n``, ``k1``, ``k2``, ``regs`` and ``set`` (binary) of the rows that pass the filter."""
+    small = np.packbits(passing)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(small)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                sets = shingle_sets([t or "" for t in batch.column(1).to_pylist()])
+                k1, k2 = _identity(sets)
+                h = batch.column(2).to_numpy()
+                take = np.flatnonzero(bits[_bit_of(h, k1)])
+                sets = [sets[i] for i in take.tolist()]
+                regs = registers(sets, k)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(k1), pa.array(k2), pairs, pa.array([r.tobytes() for r in regs], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                    names=["__id", "n", "k1", "k2", "keys", "regs", "set"],
+                    [pa.array(h[take]), pa.array([len(s) for s in sets], pa.int64()), pa.array(k1[take]), pa.array(k2[take]), pa.array([r.tobytes() for r in regs], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
+                    names=["h", "n", "k1", "k2", "regs", "set"],
                 )
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"__id {kind}, n long, k1 long, k2 long, keys array<struct<band:int,key:long>>, regs binary, set binary")
+    return rows.mapInArrow(run, "h long, n long, k1 long, k2 long, regs binary, set binary")
 
 
 def estimates(regs: np.ndarray, n: np.ndarray, k: Sketch) -> tuple[np.ndarray, np.ndarray]:
@@ -247,19 +299,21 @@ def _group_links(k: Sketch):
     return run
 
 
-def near_links(reps: DataFrame, k: Sketch) -> tuple[DataFrame, DataFrame]:
-    """``reps``: cid, n, keys, regs, set, one row per distinct set.  Labels (node_id, comp) of all that are linked to
-    another, and the members table.
+def shared_keys(reps: DataFrame) -> DataFrame:
+    """``reps``: cid, n, keys, one row per distinct set.  cid, n, band, key of the keys that two or more have."""
+    members = reps.select("cid", "n", F.explode("keys").alias("e")).select("cid", "n", "e.band", "e.key")
+    shared = members.groupBy("band", "key").agg(F.count("*").alias("__c")).filter("__c > 1").drop("__c")
+    return members.join(shared, ["band", "key"])
+
+
+def near_links(members: DataFrame, content: DataFrame, k: Sketch) -> DataFrame:
+    """Labels (node_id, comp) of the members, by links confirmed on ``content`` (cid, regs, set).
 
     A key's members are compared with each other inside the task that gets them, and only edges leave it.  Keys with
     the same members count once, keys within one component not at all.  Keys with many members are dealt out in pairs
     of blocks.
     """
-    spark = reps.sparkSession
-    members = reps.select("cid", "n", F.explode("keys").alias("e")).select("cid", "n", "e.band", "e.key")
-    shared = members.groupBy("band", "key").agg(F.count("*").alias("__c")).filter("__c > 1").drop("__c")
-    members = cut_lineage(members.join(shared, ["band", "key"]))
-    content = reps.select("cid", "regs", "set")
+    spark = members.sparkSession
     edges = spark.createDataFrame([], "src long, dst long")
     nodes = members.select(F.col("cid").alias("node_id")).distinct()
     labels = nodes.withColumn("comp", F.col("node_id"))
@@ -276,7 +330,7 @@ def near_links(reps: DataFrame, k: Sketch) -> tuple[DataFrame, DataFrame]:
         found = rows.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j").mapInArrow(_group_links(k), "src long, dst long")
         edges = cut_lineage(edges.unionByName(found).distinct())
         labels = cut_lineage(components(nodes, edges))
-    return labels, members
+    return labels
 
 
 def near_groups(docs: DataFrame, k: Sketch = Sketch(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -290,16 +344,19 @@ def near_groups(docs: DataFrame, k: Sketch = Sketch(), id_col: str = "doc_id", t
     Equal sets are one class, so copies are never paired.  Links are exact once a pair shares a key; ``Sketch`` says
     how surely it does.
     """
-    table = cut_lineage(sketch_table(docs, k, id_col, text_col).withColumn("rid", F.monotonically_increasing_id()))
-    slim = table.select("rid", "__id", "n", "k1", "k2")
-    best = F.min(F.struct(F.col("__id").isNull().alias("no"), F.col("__id").alias("id"), F.col("rid").alias("rid")))
-    classes = cut_lineage(slim.filter("n > 0").groupBy("n", "k1", "k2").agg(F.min("rid").alias("cid"), best.alias("best")))
-    reps = table.join(classes.select(F.col("cid").alias("rid")), "rid", "left_semi").withColumnRenamed("rid", "cid")
-    labels, _ = near_links(reps, k)
+    rows = _by_row(docs, id_col, text_col)
+    table = cut_lineage(sketch_table(rows, k).withColumn("rid", F.monotonically_increasing_id()))
+    best = F.min(F.struct(F.col("__id").isNull().alias("no"), F.col("__id").alias("id"), F.col("rid").alias("rid"), F.col("h").alias("h")))
+    classes = cut_lineage(table.filter("n > 0").groupBy("n", "k1", "k2").agg(best.alias("best")).withColumn("cid", F.col("best.rid")))
+    reps = table.select(F.col("rid").alias("cid"), "n", "keys").join(classes.select("cid"), "cid", "left_semi")
+    members = cut_lineage(shared_keys(reps))
+    needed = cut_lineage(classes.join(members.select("cid").distinct(), "cid", "left_semi").select("cid", "n", "k1", "k2", F.col("best.h").alias("h")))
+    content = content_table(rows, row_filter(needed), k).join(needed, ["n", "k1", "k2", "h"]).dropDuplicates(["cid"]).select("cid", "regs", "set")
+    labels = near_links(members, cut_lineage(content), k)
     named = classes.join(labels.withColumnRenamed("node_id", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     tops = named.groupBy("comp").agg(F.min("best").alias("top"))
     of_class = named.join(tops, "comp").select("n", "k1", "k2", "top")
-    out = slim.join(of_class, ["n", "k1", "k2"], "left")
+    out = table.select("rid", "__id", "n", "k1", "k2").join(of_class, ["n", "k1", "k2"], "left")
     component = F.when(F.col("top").isNull(), F.col("__id")).otherwise(F.col("top.id"))
     return out.select(
         F.col("__id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("__id").eqNullSafe(component).alias("kept"),
