@@ -197,8 +197,11 @@ def field_model(points: DataFrame, coef: DataFrame) -> DataFrame:
     the harmonics is a vectorised projection.  Joining the rows to every point would multiply the points by 90 and
     shuffle them; higher-order functions need milliseconds per point.
     """
+    valid = F.col("n").between(1, MAG_DEGREE) & F.col("m").between(0, F.col("n"))
+    if coef.where(~F.coalesce(valid, F.lit(False))).limit(1).count():
+        raise ValueError(f"coefficient rows must have degree 1 to {MAG_DEGREE} and order 0 to the degree")
     rows = (
-        coef.where(F.col("n").between(1, MAG_DEGREE) & F.col("m").between(0, F.col("n")))
+        coef
         .groupBy("n", "m").agg(F.first(F.struct("g", "h", "gdot", "hdot")).alias("c")).select("n", "m", "c.*").collect()
     )
     model = [(r.n, r.m, r.g, r.h, r.gdot, r.hdot, legendre_polynomial(r.n, r.m)) for r in rows]

@@ -86,17 +86,18 @@ def segment_endpoints(segs: DataFrame) -> DataFrame:
 
 # --- components -----------------------------------------------------------------------------------------------
 
-def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Label every node with the smallest node id it is connected to, ignoring direction.
 
     Alternating large-star and small-star steps (Kiveris et al., 2014): each is a map-side minimum per node and an
-    equi-join, and the number of rounds grows with the logarithm of the graph, not with its diameter.
+    equi-join, and the number of rounds grows with the logarithm of the graph, not with its diameter.  Rounds go on
+    until nothing changes; each round's table is deleted once the next is written.
     """
     e = cut_lineage(
         edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where("u <> v").distinct()
     )
     before = None
-    for _ in range(max_rounds):
+    while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         e = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -254,7 +255,6 @@ def _relax_block(key: tuple, labels: pd.DataFrame, edges: pd.DataFrame) -> pd.Da
 
 def shortest_costs(
     od: DataFrame, nodes: DataFrame, edges: DataFrame, block_deg: float = 0.1, pairs_per_task: int = 64,
-    max_rounds: int = 200,
 ) -> DataFrame:
     """Cheapest cost from each pair's start to every node that can matter for its goal (od_id, node, cost).
 
@@ -281,7 +281,7 @@ def shortest_costs(
     state = od.select("od_id", F.col("start").alias("node"), F.lit(0.0).alias("cost"), F.lit(True).alias("active"))
     state = cut_lineage(state.join(place, "node"))
 
-    for _ in range(max_rounds):
+    while True:
         bound = state.join(goals.select("od_id", F.col("_goal").alias("node")), ["od_id", "node"]).select("od_id", F.col("cost").alias("_bound"))
         s = state.join(goals, "od_id").join(bound, "od_id", "left")
         reach = F.col("cost") + geo.haversine("lng", "lat", "_gl", "_ga", geo.EARTH_MEAN_M)
@@ -305,8 +305,6 @@ def shortest_costs(
         state = cut_lineage(m.join(place, "node"))
         if state.where("active").limit(1).count() == 0:
             break
-    else:
-        raise RuntimeError("shortest paths did not settle")
     return state.select("od_id", "node", "cost", "lng", "lat")
 
 

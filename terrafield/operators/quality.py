@@ -131,12 +131,15 @@ def deadly_lookalikes(plants: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def check_pairing(plants: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Problems of the plant table: no tell, dangling or one-way pair, careful-edible without a lookalike."""
+    """Problems of the plant table: no tell, dangling or one-way pair, careful-edible without a lookalike.
+
+    A pair without its other half counts as none.
+    """
     row = lambda d, problem, ref=None: d.select(
         "symbol", F.lit(problem).alias("problem"), (F.col(ref) if ref else F.lit(None).cast("string")).alias("other")
     )
     known = plants.select(F.upper("symbol").alias("_k")).distinct()
-    up = pairs.withColumn("_a", F.upper("symbol")).withColumn("_b", F.upper("other"))
+    up = pairs.where("other is not null").withColumn("_a", F.upper("symbol")).withColumn("_b", F.upper("other"))
     no_tell = plants.where(F.trim(F.coalesce("tell", F.lit(""))) == "")
     dangling = up.join(known, F.col("_b") == F.col("_k"), "left_anti")
     resolved = up.join(known, F.col("_b") == F.col("_k"), "left_semi")
@@ -153,7 +156,8 @@ def check_pairing(plants: DataFrame, pairs: DataFrame) -> DataFrame:
 def match_common_name(texts: DataFrame, plants: DataFrame) -> DataFrame:
     """First plant whose common name equals the text, starts with it, or is a prefix of it.
 
-    Prefixes are listed and joined by equality, so neither side is compared with all of the other.
+    Prefixes are listed and joined by equality, so neither side is compared with all of the other.  Only prefixes of
+    lengths that some name has can match, so a text gives rise to no more rows than there are such lengths.
     """
     prefixes = lambda c: F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.substring(c, F.lit(1), i))
     t = texts.withColumn("_t", F.trim(F.regexp_replace(F.lower("text"), r"\s*\(.*$", ""))).where(F.col("_t") != "")
@@ -163,7 +167,10 @@ def match_common_name(texts: DataFrame, plants: DataFrame) -> DataFrame:
     starts = whole.select(F.explode(prefixes(F.col("_n"))).alias("_t"), "p").groupBy("_t").agg(F.min("p").alias("p"))
     asked = t.select("_t").distinct()
     longer = asked.join(starts, "_t").select("_t", "p")
-    shorter = asked.select("_t", F.explode(prefixes(F.col("_t"))).alias("_n")).join(whole, "_n").select("_t", "p")
+    # a text meets every length that occurs: names have a few dozen, texts may be long
+    lengths = whole.agg(F.array_sort(F.collect_set(F.length("_n"))).alias("_ls")).first()["_ls"] or []
+    own = F.transform(F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda k: k <= F.length("_t")), lambda k: F.substring("_t", F.lit(1), k))
+    shorter = asked.select("_t", F.explode(own).alias("_n")).join(whole, "_n").select("_t", "p")
     best = longer.unionByName(shorter).groupBy("_t").agg(F.min("p").alias("p"))
     return t.join(best, "_t").select("text_id", F.col("p.symbol").alias("symbol"))
 

@@ -34,7 +34,7 @@ VIEWS: dict[str, str | dict[str, str]] = {
     "v_route": "select user_id as route_id, cast(row_number() over (partition by user_id order by event_id) as bigint) as seq, -121.5e0 + ((event_id * 7) % 400) * 0.001e0 as lng, 44.0e0 + ((event_id * 3) % 400) * 0.001e0 as lat from events",
     # short hops along a line, so that sampling keeps a moderate number of points
     "v_path": "select user_id as route_id, cast(row_number() over (partition by user_id order by event_id) as bigint) as seq, -121.5e0 + (user_id % 300) * 0.001e0 + (row_number() over (partition by user_id order by event_id)) * 0.0017e0 as lng, 44.0e0 + (user_id % 300) * 0.0011e0 + (event_id % 3) * 0.0009e0 as lat from events",
-    "v_mvum": "select l_orderkey as mvum_id, cast(1 + l_orderkey % 12 as string) as symbol, 'FR ' || cast(l_orderkey % 400 as string) as name, case when l_returnflag = 'A' then 'Seasonal' when l_returnflag = 'N' then ' ' else null end as seasonal, case when l_linestatus = 'F' then 'open' when l_linestatus = 'O' then ' ' else null end as passengervehicle, case when l_orderkey % 3 = 0 then '06/01-10/15' when l_orderkey % 3 = 1 then '01/01-12/31' else '13/01-02/02' end as dates, -121.5e0 + ((l_orderkey * 7) % 400) * 0.001e0 as lng1, 44.0e0 + ((l_orderkey * 3) % 400) * 0.001e0 as lat1, -121.5e0 + ((l_orderkey * 7) % 400 + 6) * 0.001e0 as lng2, 44.0e0 + ((l_orderkey * 3) % 400 + 4) * 0.001e0 as lat2 from lineitem where l_linenumber = 1",
+    "v_mvum": "select k as mvum_id, cast(1 + k % 12 as string) as symbol, 'FR ' || cast(k % 400 as string) as name, case when l_returnflag = 'A' then 'Seasonal' when l_returnflag = 'N' then ' ' else null end as seasonal, case when l_linestatus = 'F' then 'open' when l_linestatus = 'O' then ' ' else null end as passengervehicle, case when k % 3 = 0 then '06/01-10/15' when k % 3 = 1 then '01/01-12/31' else '13/01-02/02' end as dates, -121.5e0 + ((k * 7) % 400) * 0.001e0 as lng1, 44.0e0 + ((k * 3) % 400) * 0.001e0 as lat1, -121.5e0 + ((k * 7) % 400 + 6) * 0.001e0 as lng2, 44.0e0 + ((k * 3) % 400 + 4) * 0.001e0 as lat2 from (select *, l_orderkey * 8 + l_linenumber as k from lineitem) as l",
     "v_mesh": "select user_id as num, event_id as arrival, case when event_type in ('signup', 'error') then null else -121.0e0 + (user_id % 50) * 0.02e0 + event_id % 97 * 0.0001e0 end as lng, case when event_type in ('signup', 'error') then null else 44.0e0 + (user_id % 40) * 0.02e0 + event_id % 89 * 0.0001e0 end as lat, cast(1704067200 + event_id * 60 - (event_id * 37) % 9000 as bigint) as pos_time, case when event_type = 'signup' then 'node ' || cast(event_id % 7 as string) else null end as long_name, case when event_id % 3 = 0 then cast(event_id % 120 as int) else null end as battery, 10 + event_id % 23 as precision_bits, cast(1704067200 + event_id * 60 as bigint) as last_heard from events",
     "v_pin": "select c_custkey as pin_id, lower(c_mktsegment) || ' ' || cast(c_custkey % 90 as string) as name, case when c_custkey % 4 = 0 then 'water near camp' else null end as note, cast(1700000000 + c_custkey * 3600 as bigint) as t, -124.0e0 + ((c_custkey * 7907) % 100003) / 100003.0e0 * 7.0e0 as lng, 42.0e0 + ((c_custkey * 104723) % 100019) / 100019.0e0 * 4.0e0 as lat, c_custkey % 25 as owner from customer",
     "v_query": "select cast(n_nationkey as bigint) as query_id, case n_nationkey % 6 when 0 then 'widget' when 1 then 'bolt' when 2 then 'Sm' when 3 then 'ring' when 4 then 'supplier#0000000' else '44.' || cast(n_nationkey as string) || ', -121.3' end as text, -124.0e0 + n_nationkey * 0.25e0 as lng, 42.0e0 + n_nationkey * 0.15e0 as lat, cast(n_nationkey as bigint) as owner from nation",
@@ -44,8 +44,8 @@ VIEWS: dict[str, str | dict[str, str]] = {
     "v_catalog": "select s_suppkey as ordinal, 'P' || cast(s_suppkey as string) as abbr, s_name as name, -124.0e0 + (s_suppkey % 20) * 0.3e0 as west, 42.0e0 + (s_suppkey % 9) * 0.4e0 as south, -124.0e0 + (s_suppkey % 20) * 0.3e0 + 0.1e0 + (s_suppkey % 4) * 0.2e0 as east, 42.0e0 + (s_suppkey % 9) * 0.4e0 + 0.1e0 + (s_suppkey % 3) * 0.2e0 as north, case when s_suppkey % 3 = 0 then 12 when s_suppkey % 3 = 1 then 14 else null end as maxzoom from supplier",
     "v_pack": "select s_suppkey as pack_id, cast(s_nationkey as bigint) as device_id, 'P' || cast(s_suppkey as string) as abbr, cast(floor(abs(s_acctbal) * 100000) as bigint) as bytes, cast(case when s_suppkey % 9 = 0 then 0 else 1700000000 - s_suppkey * 700000 end as bigint) as modified from supplier",
     "v_plant": "select p_partkey as plant_no, 'S' || cast(p_partkey as string) as symbol, p_name as common, case p_partkey % 5 when 0 then 'deadly' when 1 then 'toxic' when 2 then 'irritant' when 3 then 'edible-with-care' else 'edible' end as verdict, case when p_partkey % 17 = 0 then ' ' else p_type end as tell, p_brand as family, p_type || ' ' || p_name as scientific from part",
-    "v_plant_pair": "select 'S' || cast(p_partkey as string) as symbol, 's' || cast(case when p_partkey % 2 = 0 then p_partkey + 1 when p_partkey % 11 = 1 then p_partkey + 50000000 else p_partkey - 1 end as string) as other from part where p_partkey % 7 <> 3",
-    "v_plant_state": "select l_partkey as plant_no, case l_suppkey % 6 when 0 then 'OR' when 1 then 'WA' when 2 then 'CA' when 3 then 'ID' when 4 then 'NV' else 'MT' end as state from lineitem where l_linenumber = 1",
+    "v_plant_pair": "select 'S' || cast(p_partkey as string) as symbol, case when p_partkey % 7 = 3 then null else 's' || cast(case when p_partkey % 2 = 0 then p_partkey + 1 when p_partkey % 11 = 1 then p_partkey + 50000000 else p_partkey - 1 end as string) end as other from part",
+    "v_plant_state": "select l_partkey as plant_no, case l_suppkey % 6 when 0 then 'OR' when 1 then 'WA' when 2 then 'CA' when 3 then 'ID' when 4 then 'NV' else 'MT' end as state from lineitem",
     "v_profile": "select user_id as profile_id, cast(row_number() over (partition by user_id order by event_id) as bigint) as seq, case when event_id % 5 = 0 or event_id % 31 < 4 then null else value end as elev from events",
     # tile features: two vertices each, every third one repeated in the next tile
     "v_feature": "select l_orderkey * 8 + l_linenumber as feature_id, case l_partkey % 6 when 0 then 'places' when 1 then 'pois' when 2 then 'water' when 3 then 'roads' when 4 then 'earth' else 'landuse' end as layer, case l_partkey % 11 when 0 then 'country' when 1 then 'administrative' when 2 then 'ferry' when 3 then 'locality' when 4 then 'lake' when 5 then 'river' else 'peak' end as kind, case l_suppkey % 3 when 0 then 'town' when 1 then 'village' else null end as kind_detail, case when l_linenumber = 7 then null else 'Feature ' || cast(l_partkey % 900 as string) end as name, case when l_partkey % 13 = 0 then 'English ' || cast(l_partkey % 900 as string) else null end as name_en, cast(l_quantity * 100 as bigint) as population, 12 as z, -124.0e0 + (l_partkey % 700) * 0.01e0 + l_linenumber * 0.0007e0 as lng, 42.0e0 + (l_suppkey % 90) * 0.04e0 + l_linenumber * 0.0003e0 as lat from lineitem",

@@ -195,14 +195,14 @@ def _(t: Tables):
     "k7_search_regions",
     """
 with q as (select query_id, case query_id % 5 when 0 then '' when 1 then 'p1' when 2 then '#00000000' when 3 then 'SUPPLIER' else 'zz' end as text from v_query),
-got as (select abbr, max(modified) as modified from v_pack where pack_id % 3 = 0 group by 1)
+got as (select case when pack_id % 3 = 0 then abbr else 'old ' || abbr end as abbr, max(modified) as modified from v_pack group by 1)
 select q.query_id, r.ordinal, r.abbr, g.modified is not null as installed, g.modified from q join v_catalog r on contains(lower(r.name), lower(q.text)) or contains(lower(r.abbr), lower(q.text))
  left join got g on g.abbr = r.abbr
 """,
 )
 def _(t: Tables):
     qs = t.sql("select query_id, case query_id % 5 when 0 then '' when 1 then 'p1' when 2 then '#00000000' when 3 then 'SUPPLIER' else 'zz' end as text from v_query")
-    d = places.search_regions(qs, t.view("v_catalog"), t.view("v_pack").where("pack_id % 3 = 0"))
+    d = places.search_regions(qs, t.view("v_catalog"), t.view("v_pack").withColumn("abbr", F.expr("case when pack_id % 3 = 0 then abbr else 'old ' || abbr end")))
     return d.select("query_id", "ordinal", "abbr", "installed", "modified")
 
 
@@ -210,12 +210,12 @@ def _(t: Tables):
     "k3_sort_nodes",
     f"""
 select m.num, m.arrival, m.lng is not null as positioned, round({q.hav('v.lng','v.lat','m.lng','m.lat')}, 3) as dist_m, m.last_heard
- from (select *, num % 20 as owner from v_mesh) m left join (select * from v_query where owner < 15) v on m.owner = v.owner
+ from (select *, num % 20 as owner from v_mesh) m left join (select owner, case when owner < 15 then lng end as lng, case when owner < 15 then lat end as lat from v_query) v on m.owner = v.owner
 """,
 )
 def _(t: Tables):
     nodes = t.view("v_mesh").withColumn("owner", F.col("num") % 20)
-    d = places.sort_nodes(nodes, t.view("v_query").where("owner < 15"), "owner")
+    d = places.sort_nodes(nodes, t.view("v_query").withColumns({c: F.when(F.col("owner") < 15, F.col(c)) for c in ("lng", "lat")}), "owner")
     return d.select("num", "arrival", "positioned", r3("dist_m"), "last_heard")
 
 

@@ -19,7 +19,7 @@ NOW = 1700000000
 )
 def _(t: Tables):
     wanted = t.sql("select o_orderkey % 13 as z, o_orderkey as x, o_custkey as y from orders")
-    present = t.sql("select o_orderkey % 13 as z, o_orderkey as x, o_custkey as y from orders o join lineitem l on l.l_orderkey = o.o_orderkey and l.l_linenumber = 3")
+    present = t.sql("select o_orderkey % 13 as z, o_orderkey + case when l_linenumber = 3 then 0 else 1000000000 end as x, o_custkey as y from orders o join lineitem l on l.l_orderkey = o.o_orderkey")
     return quality.pending_tiles(wanted, present)
 
 
@@ -81,9 +81,9 @@ def _age(days):
     "a7_readiness",
     f"""
 with p as (select device_id, count(*) as packs, sum(bytes) as bytes, min(modified) filter (modified > 0) as oldest, arg_min(abbr, (modified, abbr)) filter (modified > 0) as oldest_abbr, count(*) filter (modified = 0) as undated from v_pack group by 1),
-m as (select c_nationkey::bigint as device_id, count(*) filter (c_custkey % 3 > 0) as pins, count(*) filter (c_custkey % 3 = 0) as tracks from customer where c_nationkey % 4 <> 0 group by 1),
+m as (select (case when c_nationkey % 4 = 0 then c_nationkey + 1000 else c_nationkey end)::bigint as device_id, count(*) filter (c_custkey % 3 > 0) as pins, count(*) filter (c_custkey % 3 = 0) as tracks from customer group by 1),
 d as (select coalesce(p.device_id, m.device_id) as device_id, coalesce(packs, 0) as packs, bytes, oldest, oldest_abbr, coalesce(undated, 0) as undated, coalesce(pins, 0) as pins, coalesce(tracks, 0) as tracks,
-  case when coalesce(p.device_id, m.device_id) % 3 = 0 then null else {NOW} - coalesce(p.device_id, m.device_id) * 86400 * 12 end as backup_at from p full join m on p.device_id = m.device_id),
+  case when coalesce(p.device_id, m.device_id) >= 1000 or coalesce(p.device_id, m.device_id) % 3 = 0 then null else {NOW} - coalesce(p.device_id, m.device_id) * 86400 * 12 end as backup_at from p full join m on p.device_id = m.device_id),
 e as (select *, ({NOW} - oldest) // 86400 as od, ({NOW} - backup_at) // 86400 as bd, bytes::double as b from d)
 select device_id, 'Map packs' as "check", case when packs > 0 then 'ok' else 'bad' end as level, case when packs > 0 then packs::varchar || ' downloaded (' || case when b >= 1e9 then printf('%.1f', b / 1e9) || ' GB' when b >= 1e6 then cast(floor(b / 1e6 + 0.5e0) as bigint)::varchar || ' MB' else greatest(1, cast(floor(b / 1e3 + 0.5e0) as bigint))::varchar || ' KB' end || ')' else 'None downloaded' end as detail from e
 union all select device_id, 'Pack freshness', case when oldest is null then 'warn' when {NOW} - oldest > 730 * 86400 then 'bad' when {NOW} - oldest > 365 * 86400 then 'warn' else 'ok' end,
@@ -95,8 +95,8 @@ union all select device_id, 'Backup', case when pins + tracks = 0 then 'ok' when
 """,
 )
 def _(t: Tables):
-    marks = t.sql("select cast(c_nationkey as bigint) as device_id, case when c_custkey % 3 = 0 then 'track' else 'pin' end as kind from customer where c_nationkey % 4 <> 0")
-    backups = t.sql(f"select distinct cast(n_nationkey as bigint) as device_id, {NOW} - n_nationkey * 86400 * 12 as backup_at from nation where n_nationkey % 3 <> 0")
+    marks = t.sql("select cast(case when c_nationkey % 4 = 0 then c_nationkey + 1000 else c_nationkey end as bigint) as device_id, case when c_custkey % 3 = 0 then 'track' else 'pin' end as kind from customer")
+    backups = t.sql(f"select distinct cast(n_nationkey as bigint) as device_id, case when n_nationkey % 3 <> 0 then {NOW} - n_nationkey * 86400 * 12 end as backup_at from nation")
     return quality.readiness(t.view("v_pack"), marks, backups, NOW).select("device_id", "check", "level", "detail")
 
 
@@ -116,7 +116,7 @@ def _(t: Tables):
 select symbol, 'no tell' as problem, cast(null as varchar) as other from v_plant where trim(tell) = ''
 union all select a.symbol, 'dangling', a.other from v_plant_pair a where upper(a.other) not in (select upper(symbol) from v_plant)
 union all select a.symbol, 'one-way', a.other from v_plant_pair a where upper(a.other) in (select upper(symbol) from v_plant) and not exists (select 1 from v_plant_pair b where upper(b.symbol) = upper(a.other) and upper(b.other) = upper(a.symbol))
-union all select p.symbol, 'no lookalike', null from v_plant p where verdict = 'edible-with-care' and upper(symbol) not in (select upper(symbol) from v_plant_pair)
+union all select p.symbol, 'no lookalike', null from v_plant p where verdict = 'edible-with-care' and upper(symbol) not in (select upper(symbol) from v_plant_pair where other is not null)
 """,
 )
 def _(t: Tables):
@@ -171,7 +171,7 @@ def _(t: Tables):
     return d.select("query_id", "plant_no", "verdict_rank", "recorded_here")
 
 
-_SPECIES = "select case l_suppkey % 6 when 0 then 'OR' when 1 then 'WA' when 2 then 'CA' when 3 then 'ID' when 4 then 'NV' else 'MT' end as state, 'G' || cast(l_partkey % 120 as string) || '-' || cast(l_suppkey % 9 as string) as symbol, 'Genus' || cast(l_partkey % 120 as string) || ' sp' || cast(l_suppkey % 9 as string) || ' var x' as scientific from lineitem where l_quantity < 3"
+_SPECIES = "select case l_suppkey % 6 when 0 then 'OR' when 1 then 'WA' when 2 then 'CA' when 3 then 'ID' when 4 then 'NV' else 'MT' end as state, 'G' || cast(l_partkey % 120 as string) || '-' || cast(l_suppkey % 9 as string) as symbol, 'Genus' || cast(l_partkey % 120 as string) || ' sp' || cast(l_suppkey % 9 as string) || ' var x' as scientific from lineitem"
 _GPLANT = "select 'G' || cast(p_partkey % 150 as string) || '-' || cast(p_partkey // 150 as string) as symbol, case when p_partkey % 4 = 0 then 'genus' || cast(p_partkey % 150 as string) || ' a / Genus' || cast((p_partkey + 7) % 150 as string) || ' b' else 'Genus' || cast(p_partkey % 150 as string) || ' a' end as scientific from part"
 
 

@@ -216,14 +216,17 @@ def _(t: Tables):
                     F.round(F.col("parts")[0][0]["lng"], 6).alias("lng"), F.col("props")["seasonal"].alias("seasonal"))
 
 
-@query("t3_refine_fix_stream")
+@query("t3_refine_fix_stream", _W11.format(fixes=""))
 def _(t: Tables):
     """The stream with timers, run to its end over the same requests and fixes."""
     base = scratch_path(t.spark, f"fix-{uuid.uuid4().hex}")
     r, f = _asks(t)
     none = F.lit(None).cast("double")
     asks = r.select("request_id", F.lit(-1).cast("bigint").alias("seq"), F.col("started_at").alias("ts"), none.alias("lng"), none.alias("lat"), none.alias("accuracy"))
-    ev = f.unionByName(asks)
+    # a last event far ahead, of a request that never ends, lets all timers run out
+    late = asks.groupBy().agg((F.max("ts") + F.expr("interval 1 hour")).alias("ts"))
+    late = late.select(F.lit(-1).cast("bigint").alias("request_id"), F.lit(-1).cast("bigint").alias("seq"), "ts", none.alias("lng"), none.alias("lat"), none.alias("accuracy"))
+    ev = f.unionByName(asks).unionByName(late)
     ev.write.parquet(f"{base}/events")
     stream = t.spark.readStream.schema(ev.schema).parquet(f"{base}/events")
     out = fixes.refine_fix_stream(stream).writeStream.outputMode("append").option("checkpointLocation", f"{base}/checkpoint")

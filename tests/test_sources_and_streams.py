@@ -74,3 +74,15 @@ def test_refined_fixes_equal_batch(spark, sf_dir):
     batch = entry.queries()["w11_refine_fix"](spark, sf_dir).drop("fixes")
     want = {tuple(r) for r in batch.collect()}
     assert got <= want and len(want - got) <= 3  # the last requests are still open when the input ends
+
+
+def test_long_track_stays_one(spark, tmp_path):
+    from terrafield.sources import gpx
+
+    n = 100_002
+    pts = spark.range(n).select(F.when(F.col("id") >= 0, 7).alias("track_id"), F.lit("far").alias("name"), F.col("id").alias("seq"), (F.col("id") % 1000 / 1000.0).alias("lng"), (F.col("id") % 700 / 1000.0).alias("lat"), F.lit(1.5).alias("ele"), F.lit("2024-01-02 03:04:05").cast("timestamp").alias("t"))
+    gpx.write_tracks(pts, str(tmp_path / "g"))
+    back = gpx.read_track_points(spark, str(tmp_path / "g"))
+    row = back.agg(F.count("*").alias("n"), F.countDistinct("track_id").alias("ids"), F.max("seq").alias("last"), F.countDistinct("seq").alias("seqs"), F.min("t").alias("t"), F.max("t").alias("t2")).first()
+    assert (row.n, row.ids, row.last, row.seqs) == (n, 1, n - 1, n) and row.t == row.t2
+    assert back.join(pts.select("seq", F.col("lng").alias("x"), F.col("lat").alias("y")), "seq").where("abs(lng - x) > 1e-9 or abs(lat - y) > 1e-9").count() == 0
