@@ -222,23 +222,34 @@ def cheapest_edges(edges: DataFrame) -> DataFrame:
     return best.select("src", "dst", "e.*")
 
 
+def _in_box(lng: float, lat: float, west: float, south: float, east: float, north: float) -> bool:
+    """``west`` or ``east`` may lie beyond the antimeridian."""
+    return south <= lat <= north and any(west <= lng + turn <= east for turn in (0.0, 360.0, -360.0))
+
+
 def _relax_block(key: tuple, labels: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
-    """Settle every pair's labels inside one block and hand over the labels that leave it."""
+    """Settle every pair's labels inside one block and hand over the labels that leave it; none leaves its pair's box."""
     out: dict[int, list] = {}
-    for s, d, c, inside in zip(edges["src"], edges["dst"], edges["cost"], edges["inside"]):
+    where: dict[int, tuple] = {}
+    for s, d, c, inside, lng, lat in zip(edges["src"], edges["dst"], edges["cost"], edges["inside"], edges["dlng"], edges["dlat"]):
         out.setdefault(s, []).append((d, c, inside))
+        where[d] = (lng, lat)
+    boxed = "west" in labels.columns
     od_col, node_col, cost_col, cross_col = [], [], [], []
     for od_id, rows in labels.groupby("od_id", sort=False):
         dist = dict(zip(rows["node"], rows["cost"]))
         heap = [(c, n) for n, c, a in zip(rows["node"], rows["cost"], rows["active"]) if a]
         heapq.heapify(heap)
         better, leaving = {}, {}
+        box = tuple(rows[["west", "south", "east", "north"]].iloc[0]) if boxed else None
         while heap:
             c, n = heapq.heappop(heap)
             if c > dist[n]:
                 continue
             for d, w, inside in out.get(n, ()):
                 t = c + w
+                if box and not _in_box(*where[d], *box):
+                    continue
                 if inside:
                     if t < dist.get(d, math.inf):
                         dist[d] = better[d] = t
@@ -268,9 +279,9 @@ def shortest_costs(
     place = cut_lineage(nodes.select(F.col("node_id").alias("node"), "lng", "lat", block(F.col("lng"), F.col("lat")).alias("block")))
     e = cheapest_edges(edges).select("src", "dst", "cost")
     e = e.join(place.select(F.col("node").alias("src"), "block"), "src").join(
-        place.select(F.col("node").alias("dst"), F.col("block").alias("_db")), "dst"
+        place.select(F.col("node").alias("dst"), F.col("block").alias("_db"), F.col("lng").alias("dlng"), F.col("lat").alias("dlat")), "dst"
     )
-    e = cut_lineage(e.select("block", "src", "dst", "cost", (F.col("block") == F.col("_db")).alias("inside")))
+    e = cut_lineage(e.select("block", "src", "dst", "cost", (F.col("block") == F.col("_db")).alias("inside"), "dlng", "dlat"))
     salts = max(1, math.ceil(od.count() / pairs_per_task))
     boxed = "west" in od.columns
     box = ["west", "south", "east", "north"] if boxed else []
@@ -287,12 +298,13 @@ def shortest_costs(
         reach = F.col("cost") + geo.haversine("lng", "lat", "_gl", "_ga", geo.EARTH_MEAN_M)
         useful = F.col("_bound").isNull() | (reach <= F.col("_bound") * (1 + 1e-12))
         if boxed:
-            useful = useful & F.col("lng").between(F.col("west"), F.col("east")) & F.col("lat").between(F.col("south"), F.col("north"))
+            turned = [(F.col("lng") + t).between(F.col("west"), F.col("east")) for t in (0.0, 360.0, -360.0)]
+            useful = useful & (turned[0] | turned[1] | turned[2]) & F.col("lat").between(F.col("south"), F.col("north"))
         s = s.withColumn("active", F.col("active") & useful)
         busy = s.where("active").select("od_id", "block").distinct()
-        work = s.join(busy, ["od_id", "block"], "left_semi").select("block", "salt", "od_id", "node", "cost", "active")
+        work = s.join(busy, ["od_id", "block"], "left_semi").select("block", "salt", "od_id", "node", "cost", "active", *box)
         needed = work.select(F.col("block").alias("_rb"), F.col("salt").alias("_rs")).distinct()
-        roads = e.join(needed, F.col("block") == F.col("_rb")).select("_rb", "_rs", "src", "dst", "cost", "inside")
+        roads = e.join(needed, F.col("block") == F.col("_rb")).select("_rb", "_rs", "src", "dst", "cost", "inside", "dlng", "dlat")
         found = work.groupBy("block", "salt").cogroup(roads.groupBy("_rb", "_rs")).applyInPandas(
             _relax_block, "od_id bigint, node bigint, cost double, crossed boolean"
         )
@@ -380,6 +392,13 @@ def stitch_for(zoom: int) -> float:
     return float(math.floor(25 * 2 ** (14 - zoom) + 0.5))
 
 
+def _turned_boxes(boxes: DataFrame) -> DataFrame:
+    """Boxes, and once more by a full turn those that reach beyond the antimeridian."""
+    turn = F.explode(F.array(F.lit(0.0), F.lit(360.0), F.lit(-360.0)))
+    b = boxes.select("south", "north", "west", "east", turn.alias("_t"))
+    return b.select((F.col("west") + F.col("_t")).alias("west"), "south", (F.col("east") + F.col("_t")).alias("east"), "north").where("west <= 180 and east >= -180")
+
+
 def route_with_fallback(od: DataFrame, segs_by_zoom: DataFrame, zooms: list[int] = ZOOMS, max_tiles: int = MAX_TILES, **options) -> DataFrame:
     """Routes at the finest zoom that works for each pair; pairs too far apart are reported as such.
 
@@ -397,7 +416,7 @@ def route_with_fallback(od: DataFrame, segs_by_zoom: DataFrame, zooms: list[int]
                 break
             near = spatial.points_in_boxes(
                 at_zoom.select("seg_id", F.explode("coords").alias("c")).select("seg_id", "c.lng", "c.lat"),
-                todo.select("west", "south", "east", "north"),
+                _turned_boxes(todo),
             ).select("seg_id").distinct()
             segs = cut_lineage(at_zoom.join(near, "seg_id", "left_semi"))
             if segs.limit(1).count() == 0:

@@ -304,3 +304,37 @@ def test_pairing_problems(spark):
     pairs = spark.createDataFrame([("A", "b"), ("A", "zz")], "symbol string, other string")
     got = {(r.symbol, r.problem, r.other) for r in quality.check_pairing(plants, pairs).collect()}
     assert got == {("B", "no tell", None), ("A", "dangling", "zz"), ("A", "one-way", "b"), ("B", "no lookalike", None), ("C", "no lookalike", None)}
+
+
+def _small_net(spark, shift=0.0):
+    """A straight way of two legs far apart and a cheap detour whose middle node lies outside the pair's box."""
+    turn = lambda x: ((x + shift + 180.0) % 360.0) - 180.0
+    at = {1: (10.0, 0.0), 2: (10.05, 0.0), 3: (10.1, 0.0), 4: (10.05, 0.25)}
+    nodes = spark.createDataFrame([(i, turn(x), y) for i, (x, y) in at.items()], "node_id long, lng double, lat double")
+    way = [(1, 2, 30_000.0), (2, 3, 30_000.0), (1, 4, 28_500.0), (4, 3, 28_500.0)]
+    rows = [(a, b, c, c, 1, None, "minor_road") for u, v, c in way for a, b in ((u, v), (v, u))]
+    edges = spark.createDataFrame(rows, "src long, dst long, cost double, meters double, seg_id long, name string, kind string")
+    west = turn(9.9)
+    od = spark.createDataFrame([(1, 1, 3, west, -0.2, west + 0.3, 0.2)], "od_id long, start long, goal long, west double, south double, east double, north double")
+    return od, nodes, edges
+
+
+def test_box_holds_whatever_the_blocks_and_across_the_antimeridian(spark):
+    for shift in (0.0, 169.95):
+        od, nodes, edges = _small_net(spark, shift)
+        for block in (1.0, 0.1, 0.015):
+            assert [r.cost for r in graph.shortest_paths(od, nodes, edges, block_deg=block).collect()] == [60_000.0]
+        assert [r.cost for r in graph.shortest_paths(od.drop("west", "south", "east", "north"), nodes, edges).collect()] == [57_000.0]
+
+
+def test_components_of_a_long_path(spark):
+    n = 400
+    nodes = spark.range(n).select(F.col("id").alias("node_id"))
+    edges = spark.range(n - 1).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    assert graph.components(nodes, edges).select("comp").distinct().count() == 1
+
+
+def test_common_name_of_a_long_text(spark):
+    plants = spark.createDataFrame([(1, "A", "fir, noble fir"), (2, "B", "oak")], "plant_no long, symbol string, common string")
+    texts = spark.createDataFrame([(1, "noble fir" + " x" * 50_000), (2, "oa"), (3, "pine")], "text_id long, text string")
+    assert {(r.text_id, r.symbol) for r in quality.match_common_name(texts, plants).collect()} == {(1, "A"), (2, "B")}
