@@ -61,7 +61,7 @@ def op10_secret_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_line_dedup": (op1_line_dedup, twins.LINE_DEDUP),
     "op2_token_files": (op2_token_files, None),
-    "op3_feistel_shards": (op3_feistel_shards, None),
+    "op3_feistel_shards": (op3_feistel_shards, twins.shard_sql()),
     "op4_robust_quality": (op4_robust_quality, quality.twin_sql()),
     "op5_hyperminhash": (op5_hyperminhash, None),
     "op6_byte_bpe": (op6_byte_bpe, None),

@@ -90,3 +90,36 @@ def secret_sql() -> str:
     return "with " + ",\n".join(ctes) + f"""
 select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, sha256(coalesce(b, '')) as base_sha256, coalesce(a, '') as spans
 from d left join (select rid, {counts}, {text} as b from base group by rid) x on x.rid = d.rid left join (select rid, {text} as a from every group by rid) y on y.rid = d.rid"""
+
+
+def shard_sql(n_shards: int = 40, seed: int = 7) -> str:
+    """Checksums byte by byte, row numbers by a window, and walks along the permutation's cycles by recursion."""
+    from .shards import OVERHEAD, PRIME, round_keys
+
+    table = []
+    for i in range(256):
+        c = i
+        for _ in range(8):
+            c = (c >> 1) ^ (0xEDB88320 if c & 1 else 0)
+        table.append(c)
+    step = lambda acc, x: f"xor({acc} >> 8, {table}[(xor({acc}, {x}) & 255) + 1])"
+    numbers = "list_transform(regexp_extract_all(h, '..'), lambda x: cast(instr('0123456789ABCDEF', x[1]) * 16 + instr('0123456789ABCDEF', x[2]) - 17 as bigint))"
+
+    def permuted(source: str) -> str:
+        sql = f"(select rn, x // b as l, x % b as r, a, b, n from {source})"
+        for j, k in enumerate(round_keys(seed)):
+            v, w, m = ("r", "l", "a") if j % 2 == 0 else ("l", "r", "b")
+            u = f"(({v} + {k}) % {PRIME})"
+            f = f"((({u} * {u}) % {PRIME}) * (({u} * {u}) % {PRIME}) % {PRIME}) * {u} % {PRIME}"
+            other = "r" if w == "l" else "l"
+            sql = f"(select rn, ({w} + {f}) % {m} as {w}, {other}, a, b, n from {sql})"
+        return f"select rn, l * b + r as x, a, b, n from {sql}"
+
+    return f"""
+with recursive t as (select doc_id, strlen(coalesce(text, '')) + {OVERHEAD} as size, hex(encode(coalesce(text, ''))) as h from documents),
+c as (select doc_id, size, xor(list_reduce(list_prepend(cast(4294967295 as bigint), {numbers}), lambda acc, x: {step("acc", "x")}), 4294967295) as crc from t),
+r as materialized (select *, row_number() over (order by doc_id nulls first, crc, size) - 1 as rn from c),
+n as (select n, a, cast(ceil(n / cast(a as double)) as bigint) as b from (select n, case when n > 1 then cast(floor(sqrt(n - 1)) as bigint) + 1 else 1 end as a from (select count(*) as n from documents))),
+s as (select rn, rn as x, a, b, n from r, n),
+w as ({permuted("s")} union all {permuted("(select * from w where x >= n)")})
+select doc_id, size, crc as text_crc32, 'rows' as law, cast(x % {n_shards} as int) as shard, x // {n_shards} as slot, cast(null as int) as grown_shard from r join w on r.rn = w.rn and w.x < w.n"""
