@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cells, geo
 from ..functions.lookup import first_match, lookup
-from ..session import cut_lineage
+from ..session import cut_lineage, forget
 from . import ordered, spatial
 
 # Fixed values.
@@ -96,7 +96,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     e = cut_lineage(
         edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where("u <> v").distinct()
     )
-    before = None
+    before, written = None, e
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -105,7 +105,9 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         e = e.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(
             least.select("u", F.col("m").alias("v"))
         ).distinct()
-        e = cut_lineage(e)
+        last, e = written, cut_lineage(e)
+        forget(last)
+        written = e
         row = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if row == before:
             break
@@ -314,7 +316,8 @@ def shortest_costs(
         improved = F.col("_new").isNotNull() & (F.col("_old").isNull() | (F.col("_new") < F.col("_old")))
         m = m.select("od_id", "node", F.when(improved, F.col("_new")).otherwise(F.col("_old")).alias("cost"),
                      (improved & F.coalesce("_cross", F.lit(False))).alias("active"))
-        state = cut_lineage(m.join(place, "node"))
+        last, state = state, cut_lineage(m.join(place, "node"))
+        forget(last)
         if state.where("active").limit(1).count() == 0:
             break
     return state.select("od_id", "node", "cost", "lng", "lat")

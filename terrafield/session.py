@@ -47,7 +47,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, f"step-{uuid.uuid4().hex}")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Delete the table behind a result of ``cut_lineage``; for loops, once the next round is written."""
+    jvm, sc = df.sparkSession._jvm, df.sparkSession.sparkContext
+    path = jvm.org.apache.hadoop.fs.Path(df.scratch)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
