@@ -109,13 +109,34 @@ def _(t: Tables):
     "select feature_id, coalesce(name_en, name) as name, layer from v_feature where coalesce(name_en, name) is not null",
 )
 def _(t: Tables):
-    return tables.named(t.view("v_feature")).select("feature_id", "name", "layer")
+    """Features written as a table, read back by the reader."""
+    base = scratch_path(t.spark, f"features-{uuid.uuid4().hex}")
+    t.view("v_feature").write.parquet(base)
+    return tables.read_features(t.spark, base).select("feature_id", "name", "layer")
+
+
+def _documents(t: Tables, docs):
+    """One file per row of text."""
+    base = scratch_path(t.spark, f"documents-{uuid.uuid4().hex}")
+    docs.write.option("maxRecordsPerFile", 1).text(base)
+    return base
+
+
+@query("s15_read_plants", "select symbol, scientific, common, verdict, tell, family from v_plant")
+def _(t: Tables):
+    """Plant documents of some hundred plants each, with working notes the reader leaves out."""
+    v = t.view("v_plant").withColumn("notes", F.lit("unread"))
+    docs = v.groupBy(F.floor(F.col("plant_no") / 200)).agg(F.collect_list(F.struct("symbol", "scientific", "common", "verdict", "tell", "family", "notes")).alias("plants"))
+    path = _documents(t, docs.select(F.to_json(F.struct("plants")).alias("value")))
+    return tables.read_plants(t.spark, path).select("symbol", "scientific", "common", "verdict", "tell", "family")
 
 
 @query("s9_regions", "select abbr, name, west, south, east, north, coalesce(maxzoom, 15) as maxzoom from v_catalog")
 def _(t: Tables):
+    """Catalogue documents of some hundred regions each, read back by the reader."""
     raw = t.view("v_catalog").withColumn("bbox", F.array("west", "south", "east", "north")).withColumn("estMB", F.lit(1))
-    return tables.regions(raw).drop("est_mb")
+    docs = raw.groupBy(F.floor(F.col("ordinal") / 200)).agg(F.collect_list(F.struct("abbr", "name", "bbox", "estMB", "maxzoom")).alias("d"))
+    return tables.read_regions(t.spark, _documents(t, docs.select(F.to_json("d").alias("value")))).drop("est_mb")
 
 
 @query(
@@ -124,7 +145,9 @@ def _(t: Tables):
 )
 def _(t: Tables):
     e = t.table("embeddings").withColumn("data", F.transform("embedding", lambda v: F.when(v > 0, v).otherwise(F.lit(float("nan")).cast("float"))))
-    d = tables.clean_tiles(e)
+    base = scratch_path(t.spark, f"dem-{uuid.uuid4().hex}")
+    e.select(F.lit(12).alias("z"), F.col("vec_id").alias("x"), F.lit(0).cast("bigint").alias("y"), F.lit(8).alias("width"), "data").write.parquet(base)
+    d = tables.read_dem(t.spark, base).withColumnRenamed("x", "vec_id")
     return d.select("vec_id", F.size(F.filter("data", lambda v: v.isNotNull())).cast("bigint").alias("known"), F.size("data").cast("bigint").alias("pixels"))
 
 
