@@ -25,6 +25,8 @@ VALUE_BITS = 52
 #: The factor of expected register collisions in the published estimator (a fixed value).
 COLLISIONS = 0.169919487159739093975315012348
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+#: Texts that a worker has in arrays at once.
+BATCH = 128
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -150,8 +152,8 @@ def sketch_table(rows: DataFrame, k: Sketch) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
+            for at in range(0, whole.num_rows, BATCH):
+                batch = whole.slice(at, BATCH)
                 sets = shingle_sets([t or "" for t in batch.column(1).to_pylist()])
                 own = keys(sets, registers(sets, k), k)
                 k1, k2 = _identity(sets)
@@ -181,22 +183,20 @@ def row_filter(wanted: DataFrame) -> np.ndarray:
     words = wanted.select("h", "k1").mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
     out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
     out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
-    return np.unpackbits(out.view(np.uint8), bitorder="little")
+    return out.view(np.uint64)
 
 
 def content_table(rows: DataFrame, passing: np.ndarray, k: Sketch) -> DataFrame:
     """``h``, ``n``, ``k1``, ``k2``, ``regs`` and ``set`` (binary) of the rows that pass the filter."""
-    small = np.packbits(passing)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(small)
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
+            for at in range(0, whole.num_rows, BATCH):
+                batch = whole.slice(at, BATCH)
                 sets = shingle_sets([t or "" for t in batch.column(1).to_pylist()])
                 k1, k2 = _identity(sets)
                 h = batch.column(2).to_numpy()
-                take = np.flatnonzero(bits[_bit_of(h, k1)])
+                bit = _bit_of(h, k1)
+                take = np.flatnonzero((passing[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1))
                 sets = [sets[i] for i in take.tolist()]
                 regs = registers(sets, k)
                 yield pa.RecordBatch.from_arrays(
