@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .columns import SPACE_CHARS, lines
+from .near_dedup import passes, row_filter
 
 SEGMENTS = 16
 MIN_CHARS = 16
@@ -147,6 +148,14 @@ def near_lines(docs: DataFrame, distinct: DataFrame, text_col: str) -> DataFrame
     both = half.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
     some = cut_lineage(distinct.join(half.join(both, "key").select("lid").distinct(), "lid", "left_semi").select("lid", "first", "h1", "h2"))
     spelled = docs.select(F.explode(lines(F.col(text_col))).alias("line")).withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")})
+    bitmap = row_filter(some.select(F.col("h1").alias("h"), F.col("h2").alias("k1")))
+
+    def wanted(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            yield batch.filter(pa.array(passes(bitmap, batch.column(1).to_numpy(), batch.column(2).to_numpy())))
+
+    # lines nobody asks for stay out of the shuffle; the join then is exact
+    spelled = spelled.mapInArrow(wanted, "line string, h1 long, h2 long")
     text = spelled.join(some.select("h1", "h2", "lid"), ["h1", "h2"]).groupBy("lid").agg(F.first("line").alias("line"))
     text = cut_lineage(text)
     keys = cut_lineage(text.mapInArrow(_segment_keys, "lid long, role int, key long"))

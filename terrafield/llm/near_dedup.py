@@ -186,6 +186,12 @@ def row_filter(wanted: DataFrame) -> np.ndarray:
     return out.view(np.uint64)
 
 
+def passes(bitmap: np.ndarray, h: np.ndarray, k1: np.ndarray) -> np.ndarray:
+    """Which of the rows a bitmap of ``row_filter`` lets pass."""
+    bit = _bit_of(h, k1)
+    return ((bitmap[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
+
+
 def content_table(rows: DataFrame, passing: np.ndarray, k: Sketch) -> DataFrame:
     """``h``, ``n``, ``k1``, ``k2``, ``regs`` and ``set`` (binary) of the rows that pass the filter."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
