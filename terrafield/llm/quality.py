@@ -7,7 +7,7 @@ twin in DuckDB needs the same ones in the same order.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,8 +32,9 @@ VECTOR = [
 class Rules:
     """``share`` of a group that its estimate is made from; ``floors``: least standard deviation of each coordinate (most
     texts have no symbol and no repeat, so the bare covariance is singular); ``factor``: makes the covariance of that
-    share consistent for normal data of four coordinates; groups of fewer than ``least_rows`` rows are not judged;
-    ``cutoff``: largest squared distance that stays."""
+    share consistent for normal data of four coordinates; groups of fewer than ``least_rows`` rows get no estimate of
+    their own: with ``wider`` their rows are judged by their language's, or if that has too few rows by that of all
+    rows, else they stay; ``cutoff``: largest squared distance that stays."""
 
     min_words: int = 10
     max_repeat_percent: int = 20
@@ -43,8 +44,12 @@ class Rules:
     steps: int = 4
     least_rows: int = 40
     cutoff: float = 36.0
+    wider: bool = False
 
 
+#: Every row is judged, however small its group: what the query, its twin and the pipeline use.
+WHOLE = Rules(wider=True)
+
 PAIRS = [(i, j) for i in range(1, DIMS + 1) for j in range(1, i + 1)]
 SUMS = ["c", *[f"s{i}" for i in range(1, DIMS + 1)], *[f"q{i}{j}" for i, j in PAIRS]]
 #: Of one row, in the order of ``SUMS``.
@@ -160,14 +165,32 @@ def robust_estimates(rows: DataFrame, r: Rules = Rules()) -> DataFrame:
     return params
 
 
+def _params(good: DataFrame, r: Rules) -> DataFrame:
+    """``good``: g, l, v1 .. v4.  Per group that is judged: g, ``PARAMS``.  Wider estimates are made only if a group needs one."""
+    values = [f"v{i}" for i in range(1, DIMS + 1)]
+    out = robust_estimates(good.select("g", *values), r)
+    if not r.wider:
+        return out
+    small = cut_lineage(good.groupBy("g", "l").agg(F.count("*").alias("n")).filter(F.col("n") < r.least_rows))
+    if small.isEmpty():
+        return out
+    by_lang = robust_estimates(good.join(small.select("l").distinct(), "l", "left_semi").select(F.col("l").alias("g"), *values), r).withColumnRenamed("g", "l")
+    out = out.unionByName(small.join(by_lang, "l").select("g", *PARAMS))
+    rest = small.join(by_lang, "l", "left_anti")
+    if rest.isEmpty():
+        return out
+    of_all = robust_estimates(good.select(F.lit("").alias("g"), *values), replace(r, least_rows=1))
+    return out.unionByName(rest.select("g").crossJoin(F.broadcast(of_all.drop("g"))))
+
+
 def _judged(docs: DataFrame, row: Column, r: Rules, text_col: str) -> DataFrame:
     """``__row`` with the counts, ``base_failed`` and ``kept``.  Counts are made once and written with the row."""
     g = F.to_json(F.struct(F.col("lang").alias("l"), F.col("source").alias("s")))
-    plain = docs.select(row.alias("__row"), g.alias("g"), F.col(text_col).alias("__t"))
-    stats = word_stats(plain, "__t", "__row", "g").withColumn("base_failed", F.expr(base_fails(r)))
+    plain = docs.select(row.alias("__row"), g.alias("g"), F.to_json(F.struct(F.col("lang").alias("l"))).alias("l"), F.col(text_col).alias("__t"))
+    stats = word_stats(plain, "__t", "__row", "g", "l").withColumn("base_failed", F.expr(base_fails(r)))
     vector = {f"v{i}": F.when(~F.col("base_failed"), F.expr(e)) for i, e in enumerate(VECTOR, 1)}
     table = cut_lineage(stats.withColumns(vector).drop("n_lines"))
-    params = robust_estimates(table.filter("not base_failed").select("g", *vector), r)
+    params = _params(table.filter("not base_failed").select("g", "l", *vector), r)
     far = _with(table.join(params, "g", "left"), distance())
     return far.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("d2") <= r.cutoff, F.lit(True)))
 
@@ -177,7 +200,7 @@ def judge_quality(docs: DataFrame, r: Rules = Rules(), id_col: str = "doc_id", t
 
     ``base_failed``: too few words, or too many of them in repeated windows.  Other rows are compared with the rows of
     their lang and source that did not fail (a null is a value of its own) and stay within ``cutoff``.  Rows of groups
-    too small for an estimate stay.  A null text has no words.  No rows give no rows; other columns are not read.
+    too small for an estimate are judged by a wider one with ``wider``, else stay.  A null text has no words.  No rows give no rows; other columns are not read.
     """
     return _judged(docs, F.struct(F.col(id_col)), r, text_col).select("__row.*", *STATS, "base_failed", "kept")
 
@@ -187,7 +210,7 @@ def keep_good(docs: DataFrame, r: Rules = Rules(), text_col: str = "text") -> Da
     return _judged(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]), r, text_col).filter("kept").select("__row.*")
 
 
-def twin_sql(r: Rules = Rules()) -> str:
+def twin_sql(r: Rules = WHOLE) -> str:
     """The DuckDB statement with the rows of ``judge_quality`` over documents."""
 
     def nest(source: str, steps: list[tuple[str, str]]) -> str:
@@ -197,25 +220,39 @@ def twin_sql(r: Rules = Rules()) -> str:
 
     sums = ", ".join(f"sum(cast({t} as bigint)) as {s}" for s, t in zip(SUMS, TERMS))
     ctes = [
-        "t0 as (select doc_id, row_number() over () as rid, '{' || coalesce('l' || lang, '') || '}' || coalesce('s' || source, '') as g, coalesce(text, '') as t from documents)",
+        "t0 as (select doc_id, row_number() over () as rid, '{' || coalesce('l' || lang, '') || '}' || coalesce('s' || source, '') as g, coalesce('l' || lang, '') as l, coalesce(text, '') as t from documents)",
         r"t1 as (select *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as ls from t0)",
         f"win as (select rid, i, array_to_string(w[i:i + {WINDOW - 1}], ' ') as x from (select rid, w, unnest(range(1, len(w) - {WINDOW - 2})) as i from t1 where len(w) >= {WINDOW}))",
         "twice as (select rid, i from (select *, count(*) over (partition by rid, x) as c from win) where c > 1)",
         f"rep as (select rid, count(distinct i + o) as n from (select rid, i, unnest(range(0, {WINDOW})) as o from twice) group by rid)",
-        "st as (select doc_id, t1.rid, g, cast(len(w) as bigint) as n_words, cast(length(array_to_string(w, '')) as bigint) as word_chars, cast(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as bigint) as n_symbols, cast(len(ls) - len(list_distinct(ls)) as bigint) as n_dup_lines, cast(coalesce(rep.n, 0) as bigint) as n_repeat_words, len(ls) as n_lines from t1 left join rep on rep.rid = t1.rid)",
+        "st as (select doc_id, t1.rid, g, l, cast(len(w) as bigint) as n_words, cast(length(array_to_string(w, '')) as bigint) as word_chars, cast(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as bigint) as n_symbols, cast(len(ls) - len(list_distinct(ls)) as bigint) as n_dup_lines, cast(coalesce(rep.n, 0) as bigint) as n_repeat_words, len(ls) as n_lines from t1 left join rep on rep.rid = t1.rid)",
         f"sb as (select *, {base_fails(r)} as base_failed from st)",
         "vec as materialized (select *, " + ", ".join(f"case when not base_failed then {e} end as v{i}" for i, e in enumerate(VECTOR, 1)) + " from sb)",
         "good as (select * from vec where not base_failed)",
     ]
     q = ", ".join(f"min(case when i = {i} and 4 * cum >= {k} * al then v end) as p{i}{k}" for i in range(1, DIMS + 1) for k in (1, 2, 3))
-    stacked = " union all ".join(f"select g, {i} as i, v{i} as v from good" for i in range(1, DIMS + 1))
-    ctes.append(f"quart as (select g, max(al) as n, {q} from (select *, sum(n) over (partition by g, i order by v) as cum, sum(n) over (partition by g, i) as al from (select g, i, v, count(*) as n from ({stacked}) group by all)) group by g)")
-    ctes.append(f"p0 as materialized (select g, {', '.join(PARAMS)} from {nest(f'(select * from quart where n >= {r.least_rows})', start(r))})")
-    for k in range(r.steps):
-        far = nest(f"(select good.*, {', '.join(PARAMS)} from good join p{k} on good.g = p{k}.g)", distance())
-        cums = ", ".join(f"cast(sum({s}) over (partition by g order by b) as bigint) as {s}" for s in SUMS)
-        ctes.append(f"b{k} as (select g, b, {sums} from (select *, {BIN} as b from {far}) group by g, b)")
-        ctes.append(f"c{k} as (select * from (select *, row_number() over (partition by g order by b) as k from (select g, b, n, {', '.join(SUMS)} from (select g, b, {cums}, sum(c) over (partition by g) as n from b{k}) where c >= {r.share} * n)) where k = 1)")
-        ctes.append(f"p{k + 1} as materialized (select g, {', '.join(PARAMS)} from {nest(f'c{k}', estimate(r))})")
-    last = nest(f"(select vec.*, {', '.join(PARAMS)} from vec left join p{r.steps} on vec.g = p{r.steps}.g)", distance())
+    values = ", ".join(f"v{i}" for i in range(1, DIMS + 1))
+
+    def level(x: str, key: str, least: int) -> None:
+        """Estimates per ``key``, in the statement ``p{x}``."""
+        ctes.append(f"good{x} as (select {key} as g, {values} from good)")
+        stacked = " union all ".join(f"select g, {i} as i, v{i} as v from good{x}" for i in range(1, DIMS + 1))
+        ctes.append(f"quart{x} as (select g, max(al) as n, {q} from (select *, sum(n) over (partition by g, i order by v) as cum, sum(n) over (partition by g, i) as al from (select g, i, v, count(*) as n from ({stacked}) group by all)) group by g)")
+        ctes.append(f"p{x}0 as materialized (select g, {', '.join(PARAMS)} from {nest(f'(select * from quart{x} where n >= {least})', start(r))})")
+        for k in range(r.steps):
+            far = nest(f"(select good{x}.*, {', '.join(PARAMS)} from good{x} join p{x}{k} on good{x}.g = p{x}{k}.g)", distance())
+            cums = ", ".join(f"cast(sum({s}) over (partition by g order by b) as bigint) as {s}" for s in SUMS)
+            ctes.append(f"b{x}{k} as (select g, b, {sums} from (select *, {BIN} as b from {far}) group by g, b)")
+            ctes.append(f"c{x}{k} as (select * from (select *, row_number() over (partition by g order by b) as k from (select g, b, n, {', '.join(SUMS)} from (select g, b, {cums}, sum(c) over (partition by g) as n from b{x}{k}) where c >= {r.share} * n)) where k = 1)")
+            ctes.append(f"p{x}{k + 1} as materialized (select g, {', '.join(PARAMS)} from {nest(f'c{x}{k}', estimate(r))})")
+
+    level("s", "g", r.least_rows)
+    levels = [("s", "vec.g")]
+    if r.wider:
+        level("l", "l", r.least_rows)
+        level("a", "''", 1)
+        levels += [("l", "vec.l"), ("a", "''")]
+    joins = " ".join(f"left join p{x}{r.steps} as e{x} on e{x}.g = {key}" for x, key in levels)
+    used = ", ".join(f"coalesce({', '.join(f'e{x}.{p}' for x, _ in levels)}) as {p}" for p in PARAMS)
+    last = nest(f"(select vec.*, {used} from vec {joins})", distance())
     return "with " + ",\n".join(ctes) + f"\nselect doc_id, {', '.join(STATS)}, base_failed, not base_failed and coalesce(d2 <= {r.cutoff}, true) as kept from {last}"

@@ -31,7 +31,7 @@ def op3_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_robust_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge_quality(_read(spark, sf_dir, "documents"))
+    return quality.judge_quality(_read(spark, sf_dir, "documents"), quality.WHOLE)
 
 
 def op5_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:

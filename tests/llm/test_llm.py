@@ -205,6 +205,18 @@ def test_quality_rejects_outliers(spark):
     assert kept == {*range(300), 2000, 2001}
 
 
+def test_quality_judges_small_groups(spark):
+    rng = np.random.default_rng(1)
+    words = ["".join(rng.choice(list("abcdefgh"), rng.integers(2, 9))) for _ in range(400)]
+    junk = lambda: " ".join(w + "###" for w in rng.choice(words, 200))
+    rows = [(i, " ".join(rng.choice(words, 200)), "en", f"s{i % 20}") for i in range(200)]  # sources of ten rows
+    rows += [(1000, junk(), "en", "s1"), (1001, junk(), "en", "alone"), (1002, junk(), "xx", "s1"), (1003, junk(), None, None), (1004, " ".join(rng.choice(words, 200)), "xx", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    assert {r.doc_id for r in quality.keep_good(df, quality.WHOLE).collect()} == {*range(200), 1004}
+    few = df.filter("doc_id < 10 or doc_id = 1001")  # fewer rows than any estimate of its own asks for
+    assert {r.doc_id for r in quality.keep_good(few, quality.WHOLE).collect()} == set(range(10))
+
+
 # --- near-dedup --------------------------------------------------------------------------------------------------
 
 def groups_by_hand(rows):
