@@ -37,3 +37,10 @@ def test_same_rows(spark, sf_dir, duck, name):
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.columns == ["place_id", "town_id", "town", "dist_m"] and df.count() > 0
+
+
+def test_viewsheds_reach_the_default_radius(spark, sf_dir):
+    run = lambda name: entry.queries()[name](spark, sf_dir)
+    samples = 360 * round(15 * 1609.344 / 50)
+    assert {r.samples for r in run("a12_coverage_report").collect()} == {samples}
+    assert run("w7_viewshed").filter("step > 161").count() > 0  # beyond five miles
