@@ -34,16 +34,17 @@ class Rules:
     texts have no symbol and no repeat, so the bare covariance is singular); ``factor``: makes the covariance of that
     share consistent for normal data of four coordinates; groups of fewer than ``least_rows`` rows get no estimate of
     their own: with ``wider`` their rows are judged by their language's, or if that has too few rows by that of all
-    rows, else they stay; ``cutoff``: largest squared distance that stays."""
+    rows, else they stay; ``cutoff``: largest squared distance that stays, the 0.999 quantile of chi-square with four degrees
+    of freedom.  Each coordinate reaches it alone: at the floors, repeats do from 8 per cent on."""
 
     min_words: int = 10
     max_repeat_percent: int = 20
     share: float = 0.75
-    floors: tuple[float, ...] = (15.0, 80.0, 100.0, 100.0)
+    floors: tuple[float, ...] = (15.0, 80.0, 50.0, 50.0)
     factor: float = 1.4866
     steps: int = 4
     least_rows: int = 40
-    cutoff: float = 36.0
+    cutoff: float = 18.467
     wider: bool = False
 
 

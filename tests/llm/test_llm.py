@@ -217,6 +217,19 @@ def test_quality_judges_small_groups(spark):
     assert {r.doc_id for r in quality.keep_good(few, quality.WHOLE).collect()} == set(range(10))
 
 
+def test_quality_rejects_repeats_alone(spark):
+    rng = np.random.default_rng(2)
+    words = ["".join(rng.choice(list("abcdefgh"), rng.integers(2, 9))) for _ in range(4000)]
+    text = lambda: [" ".join(rng.choice(words, 10)) for _ in range(20)]
+    rows = [(i, "\n".join(text())) for i in range(100)]
+    rows.append((1000, "\n".join(x + "\nhcdea bfgab cdahe" for x in text())))  # no window of five words repeats
+    rows.append((1001, "\n".join([*(x := text()), " ".join([x[3], x[4][: x[4].index(" ", 20)]])])))  # a passage twice, under 20 per cent
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'en' as lang", "'s' as source")
+    got = {r.doc_id: r for r in quality.judge_quality(df).collect()}
+    assert got[1000].n_dup_lines == 19 and got[1000].n_repeat_words == 0 and got[1001].n_dup_lines == 0 and got[1001].n_repeat_words > 20
+    assert not got[1000].base_failed and not got[1001].base_failed and {i for i in got if got[i].kept} == set(range(100))
+
+
 # --- near-dedup --------------------------------------------------------------------------------------------------
 
 def groups_by_hand(rows):
