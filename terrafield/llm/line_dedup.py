@@ -84,9 +84,11 @@ def frame(n: int, longer: bool) -> tuple[np.ndarray, np.ndarray]:
     return edges[:-1], edges[1:] + longer
 
 
-def line_table(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
-    """Per line: row, id, line number, ``blank``, ``n``, two hashes, and the keys of its halves (null if too short)."""
+def line_table(docs: DataFrame, id_col: str, text_col: str, min_chars: int, rid: Column | None = None) -> DataFrame:
+    """Per line: row (``rid``, else a new number), id, line number, ``blank``, ``n``, two hashes, and the keys of its halves (null if too short)."""
     rows = docs.select(F.col(id_col).alias("id"), lines(F.col(text_col)).alias("l")).withColumn("rid", F.monotonically_increasing_id())
+    if rid is not None:
+        rows = docs.select(F.col(id_col).alias("id"), lines(F.col(text_col)).alias("l"), rid.alias("rid"))
     each = rows.select("rid", "id", F.posexplode("l").alias("no", "line")).withColumns({"n": F.length("line"), "blank": F.btrim("line", F.lit(SPACE_CHARS)) == ""})
 
     def halves(least: Column) -> list[Column]:
@@ -174,15 +176,15 @@ def near_lines(docs: DataFrame, distinct: DataFrame, text_col: str) -> DataFrame
     return won.join(a, "lid").join(b, "winner").filter(F.levenshtein("__a", "__b", 1).isin(0, 1)).select("lid", "winner")
 
 
-def judge_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
-    """One row per line of every row of ``docs``: rid (number of the row), id, no (of the line, from 0), ``verdict``:
+def judge_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, rid: Column | None = None) -> DataFrame:
+    """One row per line of every row of ``docs``: rid (number of the row, ``rid`` if given), id, no (of the line, from 0), ``verdict``:
     ``keep``, ``exact`` (an earlier equal line exists) or ``near`` (an earlier line is within one edit).
 
     Lines are ordered by id (null last), line number and row.  A line with white space only stays.  Lines shorter than
     ``min_chars`` code points are held against equal ones only.  The earlier line need not be kept itself.  A null text
     is one empty line.
     """
-    table = cut_lineage(line_table(docs, id_col, text_col, min_chars))
+    table = cut_lineage(line_table(docs, id_col, text_col, min_chars, rid))
     real = table.filter("not blank")
     distinct = real.groupBy("h1", "h2").agg(F.min(_first()).alias("first"), F.first("n").alias("n"), F.first("halves").alias("halves")).withColumn("lid", F.monotonically_increasing_id())
     distinct = cut_lineage(distinct)
@@ -206,11 +208,11 @@ def line_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` without the lines that ``judge_lines`` drops: all rows and columns stay, null texts stay null.
 
-    Rows are known by id and text, so rows that repeat both lose the lines of the later ones in all of them but those
-    of the first: give ids that are unique.
+    Rows are known by a number written with them, so ids may repeat or be null: each row loses its own lines only.
     """
-    digest = line_digests(docs, id_col, text_col, min_chars).select(F.col(id_col).alias("__gid"), F.when(F.col("dropped") != "", F.split("dropped", ",")).alias("__gone")).filter("__gone is not null")
-    joined = docs.join(digest, F.col(id_col).eqNullSafe(F.col("__gid")), "left")
-    kept = F.filter(lines(F.col(text_col)), lambda x, i: ~F.array_contains("__gone", i.cast("string")))
+    numbered = cut_lineage(docs.withColumn("__rid", F.monotonically_increasing_id()))
+    judged = judge_lines(numbered, id_col, text_col, min_chars, F.col("__rid"))
+    gone = judged.filter("verdict <> 'keep'").groupBy(F.col("rid").alias("__rid")).agg(F.collect_list("no").alias("__gone"))
+    kept = F.filter(lines(F.col(text_col)), lambda x, i: ~F.array_contains("__gone", i))
     text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    return joined.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    return numbered.join(gone, "__rid", "left").select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])

@@ -120,6 +120,13 @@ def test_line_dedup(spark, edges, empty):
     assert line_dedup.line_digests(empty).count() == 0
 
 
+def test_drop_lines_of_repeated_and_null_ids(spark):
+    a, b, c = "the first line, which is long enough", "another one that nobody has said before", "a third sentence unlike all of the others"
+    rows = [(1, f"{a}\n{b}"), (1, f"{a}\n{b}"), (None, f"{a}\n{c}"), (None, f"{b}\n{a}"), (None, None)]
+    out = line_dedup.drop_lines(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert sorted(map(repr, map(tuple, out))) == sorted(map(repr, [(1, f"{a}\n{b}"), (1, ""), (None, c), (None, ""), (None, None)]))
+
+
 # --- token files -------------------------------------------------------------------------------------------------
 
 @settings(max_examples=60, deadline=None)
