@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,3 +44,13 @@ def same(a: DataFrame, b: DataFrame, *names: str) -> Column:
     for n in names:
         cond = cond & a[n].eqNullSafe(b[n])
     return cond
+
+
+def tidy() -> None:
+    """At the end of a task in a Python worker: give freed memory back to the system.  Workers outlive their tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass

@@ -21,8 +21,8 @@ class LibraryBpe:
     """``encode(texts)`` gives the ids of ``Tokenizer.encode(text, add_special_tokens=False)`` for every text.
 
     Texts of code points below ``PLAIN`` are cut here and each new slice is merged by the library's model; for such
-    texts the library's normaliser does no more than fold case and white space.  All other texts go to the library
-    whole.  Special tokens in a text are ordinary text.
+    texts the library's normaliser does no more than fold case and white space.  All other texts, and those that may hold
+    an added token, go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -30,7 +30,7 @@ class LibraryBpe:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.added = [t.content.lower() for t in self.library.get_added_tokens_decoder().values()]
         self.lower = self.library.normalizer is not None
         self.letters = byte_letters()
         splitter = Splitter(attach_space=not self.lower, single_numbers=self.lower)
@@ -40,9 +40,15 @@ class LibraryBpe:
         tokenize, letters = self.library.model.tokenize, self.letters
         return [[t.id for t in tokenize("".join(map(letters.__getitem__, s)))] for s in slices]
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _odd(self, text: str) -> bool:
         # a code point from PLAIN on begins with a byte of at least 0xCC
-        odd = [i for i, t in enumerate(texts) if not t.isascii() and np.frombuffer(t.encode(), np.uint8).max() >= 0xCC]
+        if not text.isascii() and np.frombuffer(text.encode(), np.uint8).max() >= 0xCC:
+            return True
+        low = text.lower()
+        return any(a in low for a in self.added)
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        odd = [i for i, t in enumerate(texts) if self._odd(t)]
         own = list(texts)
         for i in odd:
             own[i] = ""

@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 
 from ..operators.graph import components
 from ..session import cut_lineage
-from .columns import whole
+from .columns import tidy, whole
 from .pretokens import Fingerprints
 
 SHINGLE = 5
@@ -47,8 +47,8 @@ class Sketch:
     mantissa: int = 16
     small: int = 32
     deviations: float = 6.0
-    block_rows: int = 1500
-    block_shingles: int = 2_000_000
+    block_rows: int = 1000
+    block_shingles: int = 1_000_000
     #: Bands that are compared together; later rounds leave out what is connected by then.
     rounds: tuple[tuple[int, int], ...] = ((0, 2), (2, 10), (10, 1 << 30))
 
@@ -159,6 +159,7 @@ def sketch_table(rows: DataFrame, k: Sketch) -> DataFrame:
                 k1, k2 = _identity(sets)
                 pairs = pa.array([[{"band": b, "key": x} for b, x in o] for o in own], pa.list_(pa.struct([("band", pa.int32()), ("key", pa.int64())])))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(k1), pa.array(k2), pairs], names=["__id", "h", "n", "k1", "k2", "keys"])
+        tidy()
 
     kind = rows.schema["__id"].dataType.simpleString()
     return rows.mapInArrow(run, f"__id {kind}, h long, n long, k1 long, k2 long, keys array<struct<band:int,key:long>>")
@@ -209,39 +210,47 @@ def content_table(rows: DataFrame, passing: np.ndarray, k: Sketch) -> DataFrame:
                     [pa.array(h[take]), pa.array([len(s) for s in sets], pa.int64()), pa.array(k1[take]), pa.array(k2[take]), pa.array([r.tobytes() for r in regs], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
                     names=["h", "n", "k1", "k2", "regs", "set"],
                 )
+        tidy()
 
     return rows.mapInArrow(run, "h long, n long, k1 long, k2 long, regs binary, set binary")
 
 
-def estimates(regs: np.ndarray, n: np.ndarray, k: Sketch) -> tuple[np.ndarray, np.ndarray]:
-    """Jaccard estimates of all pairs, corrected for chance collisions, and the registers they rest on."""
-    g = len(regs)
-    hits = np.zeros((g, g), np.int16)
-    for column in regs.T:
-        hits += (column[:, None] == column[None]) & (column != 0)
+#: Rows of a group that are held against all others at once.
+SLAB = 256
+
+
+def estimates(regs: np.ndarray, n: np.ndarray, k: Sketch, lo: int = 0, hi: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Jaccard estimates of rows ``lo`` to ``hi`` with all rows, corrected for chance collisions, and the registers they
+    rest on."""
+    some = regs[lo:hi]
+    hits = np.zeros((len(some), len(regs)), np.int16)
+    for column, own in zip(regs.T, some.T):
+        hits += (own[:, None] == column[None]) & (own[:, None] != 0)
     filled = (regs != 0).astype(np.float32)
-    either = filled.sum(axis=1)[:, None] + filled.sum(axis=1)[None] - filled @ filled.T
-    ratio = n[:, None] / n[None]
-    chance = COLLISIONS * k.registers * 2.0**-k.mantissa * 4 * ratio / (1 + ratio) ** 2
+    count = filled.sum(axis=1)
+    either = count[lo:hi, None] + count[None] - filled[lo:hi] @ filled.T
+    ratio = n[lo:hi, None].astype(np.float32) / n[None].astype(np.float32)
+    chance = np.float32(COLLISIONS * k.registers * 2.0**-k.mantissa * 4) * ratio / (1 + ratio) ** 2
     return (hits - chance) / np.maximum(either, 1), either
 
 
 def common(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all pairwise intersections, by products of slices of the incidence matrix."""
+    """Sizes of all pairwise intersections (float32, exact), by products of slices of the incidence matrix."""
     g = len(sets)
-    owner = np.repeat(np.arange(g), [len(s) for s in sets])
+    owner = np.repeat(np.arange(g, dtype=np.int32), [len(s) for s in sets])
     _, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     shared = times[at] > 1
-    owner, at = owner[shared], (np.cumsum(times > 1) - 1)[at[shared]]
+    owner, at = owner[shared], (np.cumsum(times > 1, dtype=np.int32) - 1)[at[shared]]
     out = np.zeros((g, g), np.float32)
-    width = max(1, min(int((times > 1).sum()), 4_000_000 // g))
+    width = max(1, min(int((times > 1).sum()), 1_000_000 // g))
     order = np.argsort(at, kind="stable")
     owner, at = owner[order], at[order]
     for lo in range(0, int((times > 1).sum()), width):
         s, e = np.searchsorted(at, [lo, lo + width])
         slab = np.zeros((g, width), np.float32)
         slab[owner[s:e], at[s:e] - lo] = 1
-        out += slab @ slab.T
+        for i in range(0, g, SLAB):
+            out[i : i + SLAB] += slab[i : i + SLAB] @ slab.T
     return out
 
 
@@ -250,17 +259,22 @@ def linked(ids: np.ndarray, comps: np.ndarray, n: np.ndarray, regs: np.ndarray,
 
     Pairs within one component need no look; others are estimated, then counted on their full sets.
     """
-    est, rests_on = estimates(regs, n, k)
-    t = k.percent / 100
-    least = t - k.deviations * np.sqrt(t * (1 - t) / np.maximum(rests_on, 1))
-    sizes = 100 * np.minimum(n[:, None], n[None]) >= k.percent * np.maximum(n[:, None], n[None])
-    likely = (est >= least) & sizes & (comps[:, None] != comps[None])
+    g, t = len(ids), k.percent / 100
+    likely = np.zeros((g, g), bool)
+    for lo in range(0, g, SLAB):
+        hi = min(g, lo + SLAB)
+        est, rests_on = estimates(regs, n, k, lo, hi)
+        least = t - k.deviations * np.sqrt(t * (1 - t) / np.maximum(rests_on, 1))
+        own, all_ = n[lo:hi, None], n[None]
+        likely[lo:hi] = (est >= least) & (100 * np.minimum(own, all_) >= k.percent * np.maximum(own, all_)) & (comps[lo:hi, None] != comps[None])
     rows = np.flatnonzero(likely.any(axis=1))
     if not len(rows):
         return []
-    both = common([sets(i) for i in rows.tolist()]).astype(np.int64)
-    m = n[rows]
-    links = (100 * both >= k.percent * (m[:, None] + m[None] - both)) & likely[np.ix_(rows, rows)]
+    links, m = likely[np.ix_(rows, rows)], n[rows]
+    both = common([sets(i) for i in rows.tolist()])
+    for lo in range(0, len(rows), SLAB):
+        part = both[lo : lo + SLAB].astype(np.int64)
+        links[lo : lo + SLAB] &= 100 * part >= k.percent * (m[lo : lo + SLAB, None] + m[None] - part)
     edges, todo = [], np.ones(len(rows), bool)
     for i in range(len(rows)):
         if not todo[i]:
@@ -301,6 +315,8 @@ def _group_links(k: Sketch):
                 held.append((ids[i], comps[i], n[i], columns[3][i].as_py(), columns[4][i].as_py()))
             yield batch_of(edges)
         yield batch_of(close(held))
+        held.clear()
+        tidy()
 
     return run
 

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import cut_lineage
+from .columns import tidy
 from .library_bpe import model, with_end
 
 LIMIT = 2048
@@ -147,6 +148,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, limit: int = LI
                     [batch.column(0).take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(values, value_type)],
                     names=[id_col, "piece", "start", "length", name],
                 )
+        tidy()
 
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, piece int, start long, length long, {name} {'long' if digest else 'binary'}")
 

@@ -136,19 +136,35 @@ class Fingerprints:
         self.inverse = np.uint64(pow(int(self.base), -1, 2**64))
         self.up = self.down = np.ones(1, np.uint64)
 
-    def _grow(self, n: int) -> None:
-        if len(self.up) < n:
-            size = 1 << (n - 1).bit_length()
-            with np.errstate(over="ignore"):
-                self.up = np.concatenate([[np.uint64(1)], np.full(size - 1, self.base)]).cumprod(dtype=np.uint64)
-                self.down = np.concatenate([[np.uint64(1)], np.full(size - 1, self.inverse)]).cumprod(dtype=np.uint64)
+    #: Powers that are kept.  Slices are taken in runs that this many bytes hold; a longer slice has powers of its own.
+    KEPT = 1 << 18
+
+    def _powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) >= n:
+            return self.up, self.down
+        size = max(n, min(self.KEPT, 1 << (n - 1).bit_length()))
+        with np.errstate(over="ignore"):
+            up, down = (np.concatenate([[np.uint64(1)], np.full(size - 1, x)]).cumprod(dtype=np.uint64) for x in (self.base, self.inverse))
+        if size <= self.KEPT:
+            self.up, self.down = up, down
+        return up, down
 
     def of(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        self._grow(len(data) + 1)
+        """``starts`` and ``ends`` ascend."""
+        out, i = np.empty(len(starts), np.uint64), 0
+        while i < len(starts):
+            lo = int(starts[i])
+            j = max(i + 1, int(np.searchsorted(ends, lo + self.KEPT - 1, side="right")))
+            out[i:j] = self._run(data[lo : int(ends[j - 1])], starts[i:j] - lo, ends[i:j] - lo)
+            i = j
+        return out
+
+    def _run(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        up, down = self._powers(len(data) + 1)
         with np.errstate(over="ignore"):
             sums = np.zeros(len(data) + 1, np.uint64)
-            np.cumsum(self.value[data] * self.up[: len(data)], out=sums[1:])
-            h = (sums[ends] - sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            np.cumsum(self.value[data] * up[: len(data)], out=sums[1:])
+            h = (sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(32)
             h *= np.uint64(0xD6E8FEB86659FD93)
             h ^= h >> np.uint64(32)
@@ -158,7 +174,7 @@ class Fingerprints:
 class SliceCache:
     """Ids of slices by fingerprint: an open-addressing table in arrays.  When it is full it starts anew."""
 
-    def __init__(self, bits: int = 21):
+    def __init__(self, bits: int = 19):
         self.bits = bits
         self.clear()
 
@@ -214,7 +230,7 @@ class SliceEncoder:
     Memory: a few arrays over ``piece_chars`` code points (more only for a single longer text) and the cache.
     """
 
-    def __init__(self, merge: Callable[[list[bytes]], list[list[int]]], splitter: Splitter, keep_white: bool = True, piece_chars: int = 1 << 19, cache_bits: int = 21):
+    def __init__(self, merge: Callable[[list[bytes]], list[list[int]]], splitter: Splitter, keep_white: bool = True, piece_chars: int = 1 << 19, cache_bits: int = 19):
         self.merge, self.splitter, self.keep_white, self.piece_chars = merge, splitter, keep_white, piece_chars
         self.cache, self.prints = SliceCache(cache_bits), Fingerprints()
 

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import cut_lineage
+from .columns import tidy
 from .library_bpe import model, with_end
 
 MAGIC = b"S8B1"
@@ -172,6 +173,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
                     yield flush()
         if held:
             yield flush()
+        tidy()
 
     out = ordered.mapInArrow(run, f"chunk int, first long, n_ids long, doc_ids array<{kind}>, data binary").withColumn("part", F.spark_partition_id())
     out.write.option("compression", "zstd").parquet(folder)
