@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import byte_bpe, exact_dedup, host_reputation, line_dedup, near_dedup, packing, quality, secrets, shards, token_files, twins
+from . import byte_bpe, exact_dedup, host_reputation, line_dedup, near_dedup, packing, quality, secrets, shards, token_files, tournament_packing, twins
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -58,6 +58,10 @@ def op10_secret_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digests(_read(spark, sf_dir, "documents"))
 
 
+def op11_tournament_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tournament_packing.pack_freely(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1, digest=True)
+
+
 QUERIES = {
     "op1_line_dedup": (op1_line_dedup, twins.LINE_DEDUP),
     "op2_token_files": (op2_token_files, None),
@@ -69,4 +73,5 @@ QUERIES = {
     "op8_best_two_fit": (op8_best_two_fit, None),
     "op9_exact_dedup": (op9_exact_dedup, twins.EXACT_DEDUP),
     "op10_secret_entropy": (op10_secret_entropy, twins.secret_sql()),
+    "op11_tournament_packing": (op11_tournament_packing, None),
 }
