@@ -123,3 +123,18 @@ n as (select n, a, cast(ceil(n / cast(a as double)) as bigint) as b from (select
 s as (select rn, rn as x, a, b, n from r, n),
 w as ({permuted("s")} union all {permuted("(select * from w where x >= n)")})
 select doc_id, size, crc as text_crc32, 'rows' as law, cast(x % {n_shards} as int) as shard, x // {n_shards} as slot, cast(null as int) as grown_shard from r join w on r.rn = w.rn and w.x < w.n"""
+
+
+_TERM_LIST = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+RANKED_SEARCH = f"""with d as (select row_number() over () as rid, doc_id, {_TERM_LIST} as t from documents),
+sizes as (select rid, doc_id, cast(len(t) as bigint) as n from d where len(t) > 0),
+totals as (select cast(count(*) as bigint) as nd, cast(sum(n) as bigint) as nt from sizes),
+items as (select row_number() over () as q, item_id, {_TERM_LIST} as t from benchmark),
+asked as (select q, term, count(*) as times from (select q, unnest(t) as term from items) group by q, term),
+tf as (select rid, term, count(*) as tf from (select rid, unnest(t) as term from d) where term in (select term from asked) group by rid, term),
+df as (select term, cast(floor(1000 * ln((2 * nd + 2) / (2 * count(*) + 1))) as bigint) as w from tf, totals group by term, nd),
+part as (select q, tf.rid, times * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + ((25 * n * nd) // nt)))) as part from asked join tf using (term) join df using (term) join sizes on sizes.rid = tf.rid, totals),
+scored as (select q, rid, cast(sum(part) as bigint) as score from part group by q, rid having sum(part) > 0),
+ranked as (select q, doc_id, score, row_number() over (partition by q order by score desc, doc_id, rid) as rank from scored join sizes using (rid))
+select item_id, cast(rank as int) as rank, doc_id, score from ranked join items using (q) where rank <= 20"""

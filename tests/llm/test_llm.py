@@ -59,7 +59,7 @@ def tuples(df):
 
 # --- SQL twins ---------------------------------------------------------------------------------------------------
 
-@pytest.mark.parametrize("name", [n for n, (_, sql) in queries.QUERIES.items() if sql])
+@pytest.mark.parametrize("name", [n for n, (_, sql) in queries.QUERIES.items() if sql and n.split("_")[0] not in ("op12", "op13")])
 def test_twins(spark, sf_dir, name):
     con = duckdb.connect()
     for t in ("documents", "pages", "labels"):

@@ -1,8 +1,11 @@
 """Operators 11 to 13 of ``terrafield.llm`` against plain Python."""
 
+import math
+import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -10,7 +13,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from terrafield.llm import tournament_packing
+from terrafield.llm import ball_tree, queries, tournament_packing
+from tools.compare_with_sql import compare
 
 
 # --- packing by a tournament tree --------------------------------------------------------------------------------
@@ -89,3 +93,90 @@ def test_pack_freely(spark, sf_dir, group_docs):
     assert sorted(zlib.crc32(r.ids) for r in plain) == sorted(r.ids_crc32 for r in digests)
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert tournament_packing.pack_freely(empty, path).count() == 0
+
+
+# --- ranked search by ball trees ---------------------------------------------------------------------------------
+
+TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def terms(text):
+    return TERM.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
+def plain_ranks(docs, items, k=20):
+    counts = [(i, Counter(terms(t))) for i, t in docs]
+    counts = [(i, c, sum(c.values())) for i, c in counts if c]
+    nd, nt = len(counts), sum(n for *_, n in counts)
+    df = Counter(t for _, c, _ in counts for t in c)
+    out = []
+    for item, text in items:
+        scored = []
+        for i, c, n in counts:
+            m = 100 - 25 + 25 * n * nd // nt
+            score = sum(math.floor(1000 * math.log((2 * nd + 2) / (2 * df[t] + 1))) * (1_000_000_000 * c[t] // (1000 * c[t] + 12 * m)) for t in terms(text) if t in c)
+            if score > 0:
+                scored.append((-score, i is None, i or 0, i))
+        out += [(item, rank, i, -score) for rank, (score, _, _, i) in enumerate(sorted(scored, key=lambda x: x[:3])[:k], 1)]
+    return sorted(out, key=repr)
+
+
+def ranks(df):
+    return sorted((tuple(r) for r in df.select("item_id", "rank", "doc_id", "score").collect()), key=repr)
+
+
+@pytest.mark.parametrize("search", [ball_tree.Search(), ball_tree.Search(leaf=4, radii=7, tree_bytes=1 << 12, item_rows=20, item_bytes=4000, salts=2)])
+def test_search_equals_brute_force(spark, sf_dir, search):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    docs += [(7000 - i, "copy of one page, Über ÜBER x1 x1") for i in range(60)] + [(None, "copy of one page x1"), (None, None), (8000, ""), (8001, "..."), (7000, "copy of one page, Über ÜBER x1 x1"), (8002, "naïve page " * 3000), (8003, "\x00nul\x7fdel_x")]
+    items += [(1000, "page x1 x1 page Über"), (1001, None), (1002, ""), (1003, "nosuchterm"), (1000, "page x1"), (None, "NUL del naïve")]
+    d = spark.createDataFrame([(i, t, "clash", 1) for i, t in docs], "doc_id long, text string, item_id string, score int").repartition(5)
+    q = spark.createDataFrame([(i, t, "clash") for i, t in items], "item_id long, text string, doc_id string")
+    assert ranks(ball_tree.rank_documents(d, q, search)) == plain_ranks(docs, items)
+
+
+def test_search_without_rows(spark):
+    docs, items = spark.createDataFrame([(1, "a b")], "doc_id long, text string"), spark.createDataFrame([(1, "a")], "item_id long, text string")
+    assert ball_tree.rank_documents(docs.filter("false"), items).count() == 0
+    assert ball_tree.rank_documents(docs, items.filter("false")).count() == 0
+    assert ball_tree.rank_documents(docs, spark.createDataFrame([(1, None)], "item_id long, text string")).count() == 0
+
+
+def test_bounds_hold_and_prune():
+    rng = np.random.default_rng(3)
+    rows, s = [], ball_tree.Search(leaf=8, radii=16)
+    for topic in range(16):
+        for _ in range(40):
+            rows.append(np.unique(np.concatenate([rng.choice(np.arange(topic * 20, topic * 20 + 20), 8), rng.integers(0, 400, 3)])))
+    bounds = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
+    flat = np.concatenate(rows)
+    values = rng.integers(1, 1_000_000, len(flat))
+    tree = ball_tree.BallTree(bounds, flat, values, 400, s)
+    items = np.zeros((16, 400), np.int64)
+    for q in range(16):
+        items[q, q * 20 : q * 20 + 20] = rng.integers(0, 9000, 20)
+    upper = tree.bounds_for(items.astype(float))
+    for q in range(16):
+        for leaf in range(tree.n_leaves):
+            most, node = tree.scores(leaf, items[q])[0].max(), tree.n_leaves + leaf
+            while node:
+                assert upper[q, node] >= most
+                node //= 2
+    best = [ball_tree.Best(5) for _ in items]
+    opened = ball_tree.search_tree(tree, list(range(len(rows))), 0, items, best)
+    assert opened < 16 * tree.n_leaves // 2  # most leaves are never scored
+    for q in range(16):
+        every = sorted((-int((items[q, r] * values[bounds[i] : bounds[i + 1]]).sum()), i) for i, r in enumerate(rows))
+        assert [(x[0], x[2]) for x in best[q].rows] == [x for x in every[:5] if x[0] < 0]
+
+
+@pytest.mark.parametrize("name", [n for n in ("op12_prefix_trie", "op13_ball_tree_search") if n in queries.QUERIES])
+def test_twins(spark, sf_dir, name):
+    con = duckdb.connect()
+    for t in ("documents", "benchmark", "conversations"):
+        con.execute(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
+    build, sql = queries.QUERIES[name]
+    df = build(spark, sf_dir)
+    cur = con.execute(sql)
+    assert compare(name, [tuple(r) for r in df.collect()], df.columns, cur.fetchall(), [d[0] for d in cur.description]) is None
