@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import ball_tree, byte_bpe, exact_dedup, host_reputation, line_dedup, near_dedup, packing, quality, secrets, shards, token_files, tournament_packing, twins
+from . import ball_tree, byte_bpe, exact_dedup, host_reputation, line_dedup, near_dedup, packing, prefix_trie, quality, secrets, shards, token_files, tournament_packing, twins
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -62,6 +62,10 @@ def op11_tournament_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tournament_packing.pack_freely(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1, digest=True)
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(_read(spark, sf_dir, "conversations"))
+
+
 def op13_ball_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ball_tree.rank_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
@@ -78,5 +82,6 @@ QUERIES = {
     "op9_exact_dedup": (op9_exact_dedup, twins.EXACT_DEDUP),
     "op10_secret_entropy": (op10_secret_entropy, twins.secret_sql()),
     "op11_tournament_packing": (op11_tournament_packing, None),
+    "op12_prefix_trie": (op12_prefix_trie, twins.PREFIX_TRIE),
     "op13_ball_tree_search": (op13_ball_tree_search, twins.RANKED_SEARCH),
 }

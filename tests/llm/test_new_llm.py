@@ -1,5 +1,6 @@
 """Operators 11 to 13 of ``terrafield.llm`` against plain Python."""
 
+import hashlib
 import math
 import re
 import zlib
@@ -13,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from terrafield.llm import ball_tree, queries, tournament_packing
+from terrafield.llm import ball_tree, prefix_trie, queries, tournament_packing
 from tools.compare_with_sql import compare
 
 
@@ -171,6 +172,66 @@ def test_bounds_hold_and_prune():
         assert [(x[0], x[2]) for x in best[q].rows] == [x for x in every[:5] if x[0] < 0]
 
 
+# --- prefix trie -------------------------------------------------------------------------------------------------
+
+def plain_trie(rows, borrow=5, cycle=9):
+    own = defaultdict(list)
+    for c, turn, role, text in rows:
+        if c is not None:
+            key = hashlib.md5(f"{len(role or '')}:{role or ''}{text or ''}".encode()).digest()
+            own[c].append(((turn is not None, turn or 0), role or "", key, text or ""))
+    turns = {c: [(r, t) for _, r, _, t in sorted(v)] for c, v in own.items()}
+    rebuilt = {}
+    for c in turns:
+        h = zlib.crc32(str(c).encode()) % cycle
+        rebuilt[c] = turns.get(c - int(math.fmod(c, borrow)), [])[:h] + turns[c][h:]
+    members = defaultdict(list)
+    for c, t in rebuilt.items():
+        for d in range(len(t) + 1):
+            members[tuple(t[:d])].append(c)
+    kids = defaultdict(list)
+    for p in members:
+        if p:
+            kids[p[:-1]].append(p)
+    leaves, saved = {}, {}
+    for p in sorted(members, key=len, reverse=True):
+        leaves[p] = sum(leaves[k] for k in kids[p]) or 1
+        saved[p] = sum(saved[k] for k in kids[p]) + (len(members[p]) - 1) * (len(p[-1][1].encode()) if p else 0)
+    return sorted((min(m), len(p), min(members[p[:-1]]) if p else None, len(m), len(kids[p]), leaves[p], saved[p],
+                   hashlib.sha256(",".join(str(c) for c in sorted(m) if len(rebuilt[c]) == len(p)).encode()).hexdigest()) for p, m in members.items())
+
+
+def nodes_of(df):
+    return sorted((tuple(r) for r in df.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256").collect()), key=lambda r: tuple((x is not None, x or 0) if not isinstance(x, str) else (1, x) for x in r))
+
+
+def sort_nodes(rows):
+    return sorted(rows, key=lambda r: tuple((x is not None, x or 0) if not isinstance(x, str) else (1, x) for x in r))
+
+
+ODD = [(None, 1, "user", "x"), (7, None, "user", "hi"), (7, None, None, None), (7, 3, "user", "hi"), (7, 3, "user", "hi"), (7, 1, "assistant", "é" * 9000), (-3, 1, "user", "hi"), (-1, None, None, None),
+       (0, 0, "user", "first"), (0, 1, "assistant", "second"), (0, 2, "user", ""), (2, 0, None, "first"), (10**15, 5, "user", "first"), (23, 0, "user", "hi")]
+HOT = [(100 + 5 * (i // 5) + i % 5, t, "user", "same") for i in range(300) for t in range(3)] + [(5000, t, "user", f"turn {t % 3}") for t in range(500)] + [(5001 + i, t, "user", f"turn {t % 3}") for i in range(3) for t in range(40 * i)]
+
+
+@pytest.mark.parametrize("shape", [prefix_trie.Shape(), prefix_trie.Shape(segment=2, shards=5, sample=3), prefix_trie.Shape(segment=3, shards=40, sample=2), prefix_trie.Shape(shards=1)])
+def test_trie_equals_brute_force(spark, sf_dir, shape):
+    table = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    # every third conversation repeats another one's turns
+    table += [(c + 100_000, t, r, x) for c, t, r, x in table if c % 3 == 0] + [(c + 200_000, t, r, x) for c, t, r, x in table if c % 4 == 0 and t < 3]
+    for rows in (ODD, HOT if shape.segment > 3 else [r for r in HOT if r[0] < 5000 or r[1] < 21], table):
+        df = spark.createDataFrame([(*r, "clash", 1, 2) for r in rows], "conv_id long, turn long, role string, text string, depth string, n_convs int, key int").repartition(4)
+        assert nodes_of(prefix_trie.conversation_trie(df, shape)) == sort_nodes(plain_trie(rows))
+    assert prefix_trie.conversation_trie(spark.createDataFrame([], "conv_id long, turn long, role string, text string"), shape).count() == 0
+
+
+def test_chunks_of_ids_follow_each_other(spark, monkeypatch):
+    monkeypatch.setattr(prefix_trie, "_CHUNK", 3)
+    rows = [(i, 0, "user", "hello") for i in range(500)]
+    got = nodes_of(prefix_trie.conversation_trie(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), prefix_trie.Shape(shards=7)))
+    assert got == sort_nodes(plain_trie(rows))
+
+
 @pytest.mark.parametrize("name", [n for n in ("op12_prefix_trie", "op13_ball_tree_search") if n in queries.QUERIES])
 def test_twins(spark, sf_dir, name):
     con = duckdb.connect()
