@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,7 +40,10 @@ def _ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+_recorders: list[list[str]] = []
+
+
+def cut_lineage(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """Write ``df`` as a table in the shared checkpoint folder and read it back.
 
     Iterative jobs call this once per round: the plan stays small, a lost executor costs a re-read rather than a
@@ -46,17 +51,36 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     its plan along, which double with every self-join of a pointer-doubling loop.)
     """
     path = scratch_path(df.sparkSession, f"step-{uuid.uuid4().hex}")
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
+    for made in _recorders:
+        made.append(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.scratch = path
     return out
 
 
+@contextmanager
+def recorded_tables() -> Iterator[list[str]]:
+    """The list fills with the folders that ``cut_lineage`` writes meanwhile."""
+    made: list[str] = []
+    _recorders.append(made)
+    try:
+        yield made
+    finally:
+        _recorders[:] = [r for r in _recorders if r is not made]
+
+
+def delete_tables(spark: SparkSession, paths: list[str]) -> None:
+    """Delete folders of ``recorded_tables`` once nothing reads them any more, and empty the list."""
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    paths.clear()
+
+
 def forget(df: DataFrame) -> None:
     """Delete the table behind a result of ``cut_lineage``; for loops, once the next round is written."""
-    jvm, sc = df.sparkSession._jvm, df.sparkSession.sparkContext
-    path = jvm.org.apache.hadoop.fs.Path(df.scratch)
-    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+    delete_tables(df.sparkSession, [df.scratch])
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
