@@ -31,6 +31,7 @@ class LibraryBpe:
 
         self.library = Tokenizer.from_file(path)
         self.added = [t.content.lower() for t in self.library.get_added_tokens_decoder().values()]
+        self.size = self.library.get_vocab_size(with_added_tokens=True)
         self.lower = self.library.normalizer is not None
         self.letters = byte_letters()
         splitter = Splitter(attach_space=not self.lower, single_numbers=self.lower)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators.graph import components
-from ..session import cut_lineage
+from ..session import cut_lineage, forget
 from .columns import tidy, whole
 from .pretokens import Fingerprints
 
@@ -47,10 +47,10 @@ class Sketch:
     mantissa: int = 16
     small: int = 32
     deviations: float = 6.0
-    block_rows: int = 1000
-    block_shingles: int = 1_000_000
+    block_rows: int = 1500
+    block_shingles: int = 1_500_000
     #: Bands that are compared together; later rounds leave out what is connected by then.
-    rounds: tuple[tuple[int, int], ...] = ((0, 2), (2, 10), (10, 1 << 30))
+    rounds: tuple[tuple[int, int], ...] = ((0, 1), (1, 3), (3, 10), (10, 1 << 30))
 
     @property
     def registers(self) -> int:
@@ -333,25 +333,42 @@ def near_links(members: DataFrame, content: DataFrame, k: Sketch) -> DataFrame:
 
     A key's members are compared with each other inside the task that gets them, and only edges leave it.  Keys with
     the same members count once, keys within one component not at all.  Keys with many members are dealt out in pairs
-    of blocks.
+    of blocks.  Where one component has most members of a key, these are dealt to the blocks of the others only, so
+    stragglers of a group that is connected already cost its rows once, not its rows times its blocks.
     """
     spark = members.sparkSession
     edges = spark.createDataFrame([], "src long, dst long")
     nodes = members.select(F.col("cid").alias("node_id")).distinct()
     labels = nodes.withColumn("comp", F.col("node_id"))
+    written = []
     for lo, hi in k.rounds:
         now = members.filter((F.col("band") >= lo) & (F.col("band") < hi)).join(labels.withColumnRenamed("node_id", "cid"), "cid")
-        keys_ = now.groupBy("band", "key").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("c"), F.sum("n").alias("all"), F.bit_xor(F.xxhash64("cid")).alias("who")).filter("a <> b")
-        once = keys_.groupBy("who", "c").agg(F.min(F.struct("band", "key")).alias("k"), F.first("all").alias("all"))
-        blocks = F.ceil(F.greatest(F.col("c") / k.block_rows, F.col("all") / k.block_shingles)).cast("int")
-        once = once.select("k.band", "k.key", blocks.alias("blocks"))
-        own = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
-        dealt = now.join(once, ["band", "key"]).select("cid", "comp", "n", "band", "key", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        per = now.groupBy("band", "key", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("all"), F.bit_xor(F.xxhash64("cid")).alias("who"))
+        most = F.max(F.struct("c", "comp", "all"))
+        keys_ = per.groupBy("band", "key").agg(F.count("*").alias("comps"), F.sum("c").alias("c"), F.sum("all").alias("all"), F.bit_xor("who").alias("who"), most.alias("most")).filter("comps > 1")
+        once = keys_.groupBy("who", "c").agg(F.min(F.struct("band", "key")).alias("k"), F.first("all").alias("all"), F.first("most").alias("most"))
+        apart = F.col("most.c") > k.block_rows // 2
+
+        def blocks(c, n):
+            return F.ceil(F.greatest(c / k.block_rows, n / k.block_shingles)).cast("int")
+
+        of_rest = F.when(apart, blocks(F.col("c") - F.col("most.c"), F.col("all") - F.col("most.all"))).otherwise(blocks(F.col("c"), F.col("all")))
+        of_most = F.when(apart, blocks(F.col("most.c"), F.col("most.all"))).otherwise(0)
+        once = once.select("k.band", "k.key", F.when(apart, F.col("most.comp")).alias("big"), of_rest.alias("rest"), of_most.alias("most"))
+        placed = now.join(once, ["band", "key"]).withColumn("in_big", F.col("comp").eqNullSafe(F.col("big")))
+        h = F.xxhash64("cid")
+        own = F.when(F.col("in_big"), F.col("rest") + F.pmod(h, F.greatest("most", F.lit(1)))).otherwise(F.pmod(h, F.greatest("rest", F.lit(1)))).cast("int")
+        last = F.when(F.col("in_big"), F.col("rest") - 1).otherwise(F.col("rest") + F.col("most") - 1)
+        dealt = placed.select("cid", "comp", "n", "band", "key", own.alias("own"), F.explode(F.sequence(F.lit(0), last)).alias("other"))
         dealt = dealt.select("cid", "comp", "n", F.xxhash64("band", "key").alias("g"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
         rows = dealt.join(content, "cid").select("g", "i", "j", "cid", "comp", "n", "regs", "set")
         found = rows.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j").mapInArrow(_group_links(k), "src long, dst long")
         edges = cut_lineage(edges.unionByName(found).distinct())
         labels = cut_lineage(components(nodes, edges))
+        for done in written:
+            forget(done)
+        written = [edges, labels]
+    forget(edges)
     return labels
 
 
@@ -374,7 +391,10 @@ def near_groups(docs: DataFrame, k: Sketch = Sketch(), id_col: str = "doc_id", t
     members = cut_lineage(shared_keys(reps))
     needed = cut_lineage(classes.join(members.select("cid").distinct(), "cid", "left_semi").select("cid", "n", "k1", "k2", F.col("best.h").alias("h")))
     content = content_table(rows, row_filter(needed), k).join(needed, ["n", "k1", "k2", "h"]).dropDuplicates(["cid"]).select("cid", "regs", "set")
-    labels = near_links(members, cut_lineage(content), k)
+    content = cut_lineage(content)
+    labels = near_links(members, content, k)
+    for done in (members, needed, content):
+        forget(done)
     named = classes.join(labels.withColumnRenamed("node_id", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     tops = named.groupBy("comp").agg(F.min("best").alias("top"))
     of_class = named.join(tops, "comp").select("n", "k1", "k2", "top")

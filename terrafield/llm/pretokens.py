@@ -174,7 +174,7 @@ class Fingerprints:
 class SliceCache:
     """Ids of slices by fingerprint: an open-addressing table in arrays.  When it is full it starts anew."""
 
-    def __init__(self, bits: int = 19):
+    def __init__(self, bits: int = 20):
         self.bits = bits
         self.clear()
 
@@ -230,7 +230,7 @@ class SliceEncoder:
     Memory: a few arrays over ``piece_chars`` code points (more only for a single longer text) and the cache.
     """
 
-    def __init__(self, merge: Callable[[list[bytes]], list[list[int]]], splitter: Splitter, keep_white: bool = True, piece_chars: int = 1 << 19, cache_bits: int = 19):
+    def __init__(self, merge: Callable[[list[bytes]], list[list[int]]], splitter: Splitter, keep_white: bool = True, piece_chars: int = 1 << 19, cache_bits: int = 20):
         self.merge, self.splitter, self.keep_white, self.piece_chars = merge, splitter, keep_white, piece_chars
         self.cache, self.prints = SliceCache(cache_bits), Fingerprints()
 

@@ -104,7 +104,7 @@ def plan_group(lengths: list[int], limit: int) -> list[list[tuple[int, int, int]
 
 
 def _encoded(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
-    """Written: ``__id``, ``__row`` (its own number per row), ``__n`` and ``__ids`` (little-endian, 32 bits each)."""
+    """Written: ``__id``, ``__row`` (its own number per row), ``__n`` and ``__ids`` (little-endian, 16 bits each if none needs more)."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,17 +113,17 @@ def _encoded(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
                 ids, bounds = with_end(*bpe.encode([t or "" for t in batch.column(1).to_pylist()]), end_id)
-                ids = ids.astype("<u4")
+                ids = ids.astype("<u2" if bpe.size <= 1 << 16 and end_id < 1 << 16 else "<u4")
                 values = [ids[s:e].tobytes() for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(bounds).astype(np.int64)), pa.array(values, pa.binary())], names=["__id", "__n", "__ids"])
         tidy()
 
     rows = docs.select(id_col, text_col).mapInArrow(run, f"__id {kind}, __n long, __ids binary")
-    return cut_lineage(rows.withColumn("__row", F.monotonically_increasing_id()))
+    return cut_lineage(rows.withColumn("__row", F.monotonically_increasing_id()), "zstd")
 
 
 def pack_freely(
-    docs: DataFrame, tokenizer: str, end_id: int = 1, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text", digest: bool = False, group_docs: int = 1024, group_ids: int = 1 << 21
+    docs: DataFrame, tokenizer: str, end_id: int = 1, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text", digest: bool = False, group_docs: int = 256, group_ids: int = 1 << 19
 ) -> DataFrame:
     """One row per piece: ``<id_col>``, ``start``, ``length``, ``ids`` (binary, little-endian unsigned 32-bit; or ``ids_crc32``
     of them with ``digest``), ``doc_tokens``, ``sequence_id`` and ``offset``.
@@ -150,10 +150,11 @@ def pack_freely(
             lengths, ids = table.column(1).to_numpy(), table.column(2)
             out = [(d, s, k, q, o) for q, sequence in enumerate(plan_group(lengths.tolist(), limit)) for (d, s, k), o in zip(sequence, np.cumsum([0, *(p[2] for p in sequence)]).tolist())]
             doc, start, length, sequence, offset = (np.array(x, np.int64) for x in zip(*out))
-            at = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1].astype(np.int64)
-            data = memoryview(ids.buffers()[2])
-            first = at[doc] + 4 * start
-            values = [value(data[f : f + 4 * k]) for f, k in zip(first.tolist(), length.tolist())]
+            at = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1].astype(np.int64)  # of bytes
+            width = (at[1] - at[0]) // lengths[0]
+            data = np.frombuffer(ids.buffers()[2], "<u2" if width == 2 else "<u4").astype("<u4")
+            first = at[doc] // width + start
+            values = [value(data[f : f + k].tobytes()) for f, k in zip(first.tolist(), length.tolist())]
             return pa.RecordBatch.from_arrays(
                 [table.column(0).take(pa.array(doc)), pa.array(start), pa.array(length), pa.array(values, value_type), pa.array(lengths[doc]), pa.array(group * SPAN + sequence), pa.array(offset)],
                 names=[id_col, "start", "length", name, "doc_tokens", "sequence_id", "offset"],
