@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cells, geo, text
 from ..functions.lookup import lookup
+from . import polygons
 
 # Fixed values.
 SETTLEMENT_RANK = {"city": 4, "town": 3, "village": 2, "hamlet": 1}
@@ -230,42 +231,12 @@ def box_ring() -> Column:
                            corner("west", "north"), corner("west", "south")))
 
 
-def ring_contains(ring: Column, lng: Column, lat: Column) -> Column:
-    """Even-odd test: count the edges that a ray to the east crosses."""
-    n = F.size(ring)
-
-    def crossing(i):
-        a, b = F.element_at(ring, i), F.element_at(ring, F.when(i == 1, n).otherwise(i - 1))
-        straddles = (a["lat"] > lat) != (b["lat"] > lat)
-        x = (b["lng"] - a["lng"]) * (lat - a["lat"]) / F.nullif(b["lat"] - a["lat"], F.lit(0.0)) + a["lng"]
-        return F.when(straddles & (lng < x), 1).otherwise(0)
-
-    hits = F.aggregate(F.sequence(F.lit(1), n), F.lit(0), lambda acc, i: acc + crossing(i))
-    return (n > 0) & (hits % 2 == 1)
-
-
-def polygon_contains(rings: Column, lng: Column, lat: Column) -> Column:
-    """Inside the outer ring and outside every hole."""
-    holes = F.slice(rings, F.lit(2), F.greatest(F.size(rings) - 1, F.lit(0)))
-    return (F.size(rings) > 0) & ring_contains(rings[0], lng, lat) & ~F.exists(
-        holes, lambda h: ring_contains(h, lng, lat)
-    )
-
-
-def with_bounds(areas: DataFrame, rings: str = "rings") -> DataFrame:
-    outer = F.col(rings)[0]
-    lngs, lats = F.transform(outer, lambda p: p["lng"]), F.transform(outer, lambda p: p["lat"])
-    return (areas.withColumn("west", F.array_min(lngs)).withColumn("east", F.array_max(lngs))
-            .withColumn("south", F.array_min(lats)).withColumn("north", F.array_max(lats)))
-
-
 def points_in_areas(points: DataFrame, areas: DataFrame) -> DataFrame:
-    """Pairs of points and the polygons that contain them.  Parts of a multipolygon are separate rows."""
-    boxed = with_bounds(areas)
-    pairs = points_in_boxes(points, boxed)
-    return pairs.where(polygon_contains(F.col("rings"), F.col("lng"), F.col("lat"))).drop(
-        "rings", "west", "east", "south", "north"
-    )
+    """Pairs of points and the polygons that contain them.  Parts of a multipolygon are separate rows.
+
+    Only clipped edges meet the points; for many joins with the same polygons make ``polygons.polygon_index`` once.
+    """
+    return polygons.points_in_index(points, polygons.polygon_index(areas))
 
 
 def recover_labels(areas: DataFrame, labels: DataFrame, same_kind_first: bool = True) -> DataFrame:
