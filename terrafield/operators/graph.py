@@ -48,40 +48,44 @@ def road_name() -> Column:
     return F.coalesce(F.nullif("ref", F.lit("")), F.nullif("name", F.lit("")), generic)
 
 
-def build_graph(segs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of a road table; every edge carries cost, metres and the road it belongs to."""
+def build_graph(segs: DataFrame, within: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of a road table; every edge carries cost, metres and the road it belongs to.
+
+    ``within``: columns of ``segs`` that tell graphs apart, such as the pair whose corridor a road lies in.  A road may be
+    in any number of graphs; nodes and edges carry the columns too.
+    """
     s = routable(segs)
-    v = s.select("seg_id", "kind", F.posexplode("coords").alias("pos", "c")).select(
-        "seg_id", "pos", node_key("c.lng", "c.lat").alias("node_id"), F.col("c.lng").alias("lng"), F.col("c.lat").alias("lat"),
+    v = s.select(*within, "seg_id", "kind", F.posexplode("coords").alias("pos", "c")).select(
+        *within, "seg_id", "pos", node_key("c.lng", "c.lat").alias("node_id"), F.col("c.lng").alias("lng"), F.col("c.lat").alias("lat"),
         lookup("kind", NODE_MASK, 4).alias("mask"),
     )
-    nodes = v.groupBy("node_id").agg(
+    nodes = v.groupBy(*within, "node_id").agg(
         F.min_by(F.struct("lng", "lat"), F.struct("seg_id", "pos")).alias("c"), F.bit_or("mask").alias("mask")
-    ).select("node_id", "c.lng", "c.lat", "mask")
+    ).select(*within, "node_id", "c.lng", "c.lat", "mask")
 
     cost = F.coalesce(lookup("detail", DETAIL_COST), lookup("kind", CLASS_COST), F.lit(OTHER_COST))
     n = F.size("coords")
     pairs = F.arrays_zip(F.slice("coords", F.lit(1), n - 1).alias("a"), F.slice("coords", F.lit(2), n - 1).alias("b"))
-    e = s.select("seg_id", "kind", road_name().alias("name"), F.coalesce("oneway", F.lit(False)).alias("oneway"), cost.alias("mult"),
+    e = s.select(*within, "seg_id", "kind", road_name().alias("name"), F.coalesce("oneway", F.lit(False)).alias("oneway"), cost.alias("mult"),
                  F.explode(pairs).alias("p"))
-    e = e.select("seg_id", "kind", "name", "oneway", "mult", node_key("p.a.lng", "p.a.lat").alias("src"),
+    e = e.select(*within, "seg_id", "kind", "name", "oneway", "mult", node_key("p.a.lng", "p.a.lat").alias("src"),
                  node_key("p.b.lng", "p.b.lat").alias("dst")).where("src <> dst")
-    at = lambda p: nodes.select(F.col("node_id").alias(p), F.col("lng").alias(f"{p}_lng"), F.col("lat").alias(f"{p}_lat"))
-    e = e.join(at("src"), "src").join(at("dst"), "dst")
+    at = lambda p: nodes.select(*within, F.col("node_id").alias(p), F.col("lng").alias(f"{p}_lng"), F.col("lat").alias(f"{p}_lat"))
+    e = e.join(at("src"), [*within, "src"]).join(at("dst"), [*within, "dst"])
     e = e.withColumn("meters", geo.haversine("src_lng", "src_lat", "dst_lng", "dst_lat", geo.EARTH_MEAN_M))
     both = F.when(F.col("oneway"), F.array(F.struct("src", "dst"))).otherwise(
         F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))
     )
     edges = e.withColumn("_d", F.explode(both)).select(
-        "_d.src", "_d.dst", (F.col("meters") * F.col("mult")).alias("cost"), "meters", "seg_id", "name", "kind"
+        *within, "_d.src", "_d.dst", (F.col("meters") * F.col("mult")).alias("cost"), "meters", "seg_id", "name", "kind"
     )
     return nodes, edges
 
 
-def segment_endpoints(segs: DataFrame) -> DataFrame:
+def segment_endpoints(segs: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
     """Node ids at either end of every routable segment."""
     ends = F.array(F.element_at("coords", 1), F.element_at("coords", -1))
-    return routable(segs).select(F.explode(ends).alias("c")).select(node_key("c.lng", "c.lat").alias("node_id")).distinct()
+    return routable(segs).select(*within, F.explode(ends).alias("c")).select(*within, node_key("c.lng", "c.lat").alias("node_id")).distinct()
 
 
 # --- components -----------------------------------------------------------------------------------------------
@@ -122,7 +126,7 @@ def component_sizes(nodes: DataFrame) -> DataFrame:
 
 # --- stitching ------------------------------------------------------------------------------------------------
 
-def stitch_links(endpoints: DataFrame, nodes: DataFrame, tol_m: float = STITCH_M) -> DataFrame:
+def stitch_links(endpoints: DataFrame, nodes: DataFrame, tol_m: float = STITCH_M, within: tuple[str, ...] = ()) -> DataFrame:
     """Gaps to bridge: a segment end and up to four nearest vertices of other components.
 
     The tolerance is wider between two major roads.  Distances are exact everywhere; a grid whose width comes from
@@ -130,10 +134,10 @@ def stitch_links(endpoints: DataFrame, nodes: DataFrame, tol_m: float = STITCH_M
     """
     wide = max(tol_m, MAJOR_STITCH_M)
     ends = nodes.join(endpoints.select("node_id").distinct(), "node_id", "left_semi")
-    targets = nodes.select(F.col("node_id").alias("t_id"), F.col("mask").alias("t_mask"), F.col("comp").alias("t_comp"),
+    targets = nodes.select(*within, F.col("node_id").alias("t_id"), F.col("mask").alias("t_mask"), F.col("comp").alias("t_comp"),
                            F.col("lng").alias("t_lng"), F.col("lat").alias("t_lat"))
     both_major = F.col("mask").bitwiseAND(F.col("t_mask")).bitwiseAND(F.lit(MAJOR)) > 0
-    pairs = spatial.within_radius(ends, targets, wide, geo.EARTH_MEAN_M, extra=F.col("comp") != F.col("t_comp"))
+    pairs = spatial.within_radius(ends, targets, wide, geo.EARTH_MEAN_M, extra=F.col("comp") != F.col("t_comp"), on=within)
     pairs = pairs.where(F.col("dist_m") <= F.when(both_major, wide).otherwise(tol_m))
     near = spatial.k_nearest(pairs, "node_id", "t_id", MAX_LINKS)
     return near.groupBy(F.least("node_id", "t_id").alias("a"), F.greatest("node_id", "t_id").alias("b")).agg(
@@ -141,38 +145,59 @@ def stitch_links(endpoints: DataFrame, nodes: DataFrame, tol_m: float = STITCH_M
     )
 
 
-def stitched_graph(segs: DataFrame, tol_m: float = STITCH_M) -> tuple[DataFrame, DataFrame]:
-    """Graph with gaps bridged by free links in both directions, and components over the result."""
-    nodes, edges = build_graph(segs)
+def _numbered(nodes: DataFrame, edges: DataFrame, ends: DataFrame, within: tuple[str, ...]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Ids that are unique over all graphs, in the order of graph and node id; ``vertex`` keeps the node's own id."""
+    key = [*within, "node_id"]
+    n = nodes.repartitionByRange(*key).sortWithinPartitions(*key).withColumnRenamed("node_id", "vertex")
+    n = cut_lineage(n.withColumn("node_id", F.monotonically_increasing_id()))
+    own = lambda name: n.select(*within, F.col("vertex").alias(name), F.col("node_id").alias(f"_{name}"))
+    e = edges.join(own("src"), [*within, "src"]).join(own("dst"), [*within, "dst"])
+    e = e.withColumns({"src": F.col("_src"), "dst": F.col("_dst")}).drop("_src", "_dst")
+    ids = ends.withColumnRenamed("node_id", "vertex").join(n.select(*within, "vertex", "node_id"), [*within, "vertex"]).select("node_id")
+    return n, e, ids
+
+
+def stitched_graph(segs: DataFrame, tol_m: float = STITCH_M, within: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """Graph with gaps bridged by free links in both directions, and components over the result.
+
+    With ``within`` there is a graph for every value of these columns, all built together: roads of one graph never
+    join, stitch or connect those of another.  Node ids are then numbers of their own (``vertex`` has the usual id).
+    """
+    nodes, edges = build_graph(segs, within)
+    ends = segment_endpoints(segs, within)
+    if within:
+        nodes, edges, ends = _numbered(nodes, edges, ends, within)
     nodes, edges = cut_lineage(nodes), cut_lineage(edges)
-    links = stitch_links(segment_endpoints(segs), components(nodes, edges), tol_m)
+    links = stitch_links(ends, components(nodes, edges), tol_m, within)
     none = F.lit(None)
     link = links.select(F.explode(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")),
                                           F.struct(F.col("b").alias("src"), F.col("a").alias("dst")))).alias("d"), "meters").select(
         "d.src", "d.dst", F.col("meters").alias("cost"), "meters", none.cast("bigint").alias("seg_id"),
         none.cast("string").alias("name"), none.cast("string").alias("kind"))
+    if within:
+        link = link.join(nodes.select(F.col("node_id").alias("src"), *within), "src")
     edges = cut_lineage(edges.unionByName(link))
     return cut_lineage(components(nodes, edges)), edges
 
 
 # --- snapping -------------------------------------------------------------------------------------------------
 
-def knn_nodes(points: DataFrame, nodes: DataFrame, point_id: str, k: int = SNAP_CANDIDATES, max_m: float = SNAP_M) -> DataFrame:
-    """Up to k nearest graph nodes within a radius."""
-    t = nodes.select("node_id", "comp", F.col("lng").alias("t_lng"), F.col("lat").alias("t_lat"))
-    pairs = spatial.within_radius(points.select(point_id, "lng", "lat"), t, max_m, geo.EARTH_MEAN_M)
+def knn_nodes(points: DataFrame, nodes: DataFrame, point_id: str, k: int = SNAP_CANDIDATES, max_m: float = SNAP_M, within: tuple[str, ...] = ()) -> DataFrame:
+    """Up to k nearest graph nodes within a radius; with ``within`` nodes of the point's own graph."""
+    t = nodes.select(*within, "node_id", "comp", F.col("lng").alias("t_lng"), F.col("lat").alias("t_lat"))
+    pairs = spatial.within_radius(points.select(*dict.fromkeys([point_id, *within]), "lng", "lat"), t, max_m, geo.EARTH_MEAN_M, on=within)
     return spatial.k_nearest(pairs, point_id, "node_id", k).select(point_id, "node_id", "comp", "dist_m", "rank")
 
 
-def snap_pairs(od: DataFrame, nodes: DataFrame, max_m: float = SNAP_M, k: int = SNAP_CANDIDATES) -> DataFrame:
+def snap_pairs(od: DataFrame, nodes: DataFrame, max_m: float = SNAP_M, k: int = SNAP_CANDIDATES, within: tuple[str, ...] = ()) -> DataFrame:
     """Start and goal node of every pair: in one component, with the smallest summed distance.
 
     A point may pass over its nearest node, but only so far: 60 m when it is on a road, 250 m otherwise, or four
     times the nearest distance.
     """
     def side(name: str) -> DataFrame:
-        p = od.select("od_id", F.col(f"{name}.lng").alias("lng"), F.col(f"{name}.lat").alias("lat"))
-        c = knn_nodes(p, nodes, "od_id", k, max_m)
+        p = od.select(*dict.fromkeys(["od_id", *within]), F.col(f"{name}.lng").alias("lng"), F.col(f"{name}.lat").alias("lat"))
+        c = knn_nodes(p, nodes, "od_id", k, max_m, within)
         # the candidate list has at most k rows per pair, so this window is bounded
         near = F.min("dist_m").over(Window.partitionBy("od_id"))
         slack = F.greatest(F.when(near <= ON_ROAD_M, ON_ROAD_SLACK_M).otherwise(SNAP_SLACK_M), near * 4)
@@ -218,10 +243,11 @@ def corridors(od: DataFrame, zooms: list[int] = ZOOMS, max_tiles: int = MAX_TILE
 
 def cheapest_edges(edges: DataFrame) -> DataFrame:
     """One edge per ordered node pair: the cheapest, then the lowest road id."""
-    best = edges.groupBy("src", "dst").agg(
+    own = [c for c in ("od_id",) if c in edges.columns]  # a graph per pair: both nodes are this pair's
+    best = edges.groupBy("src", "dst", *own).agg(
         F.min_by(F.struct("cost", "meters", "seg_id", "name", "kind"), F.struct("cost", F.coalesce("seg_id", F.lit(-1)))).alias("e")
     )
-    return best.select("src", "dst", "e.*")
+    return best.select("src", "dst", *own, "e.*")
 
 
 def _in_box(lng: float, lat: float, west: float, south: float, east: float, north: float) -> bool:
@@ -273,24 +299,26 @@ def shortest_costs(
 
     The map is cut into blocks.  A round settles all active (pair, block) groups at once, each with the block's own
     edges, then hands labels that cross a border to the neighbouring block.  Rounds count block crossings, not
-    hops.  Labels that cannot beat the best goal cost, straight line included, or that leave the pair's box (west,
+    hops.  Edges with an ``od_id`` serve that pair alone.  Labels that cannot beat the best goal cost, straight line included, or that leave the pair's box (west,
     south, east, north, if given) are dropped.  A group holds one block and a bounded number of pairs.
     """
     spark = od.sparkSession
     block = lambda lng, lat: (F.floor(lng / block_deg) * 1_000_000 + F.floor(lat / block_deg)).cast("bigint")
     place = cut_lineage(nodes.select(F.col("node_id").alias("node"), "lng", "lat", block(F.col("lng"), F.col("lat")).alias("block")))
-    e = cheapest_edges(edges).select("src", "dst", "cost")
+    salts = max(1, math.ceil(od.count() / pairs_per_task))
+    salt = F.pmod(F.xxhash64("od_id"), F.lit(salts)).cast("int").alias("salt")
+    own = "od_id" in edges.columns
+    e = cheapest_edges(edges).select("src", "dst", "cost", *[salt] * own)
     e = e.join(place.select(F.col("node").alias("src"), "block"), "src").join(
         place.select(F.col("node").alias("dst"), F.col("block").alias("_db"), F.col("lng").alias("dlng"), F.col("lat").alias("dlat")), "dst"
     )
-    e = cut_lineage(e.select("block", "src", "dst", "cost", (F.col("block") == F.col("_db")).alias("inside"), "dlng", "dlat"))
-    salts = max(1, math.ceil(od.count() / pairs_per_task))
+    e = cut_lineage(e.select("block", *["salt"] * own, "src", "dst", "cost", (F.col("block") == F.col("_db")).alias("inside"), "dlng", "dlat"))
     boxed = "west" in od.columns
     box = ["west", "south", "east", "north"] if boxed else []
     goals = od.select("od_id", F.col("goal").alias("_goal"), *box).join(
         place.select(F.col("node").alias("_goal"), F.col("lng").alias("_gl"), F.col("lat").alias("_ga")), "_goal"
     )
-    goals = cut_lineage(goals.withColumn("salt", F.pmod(F.xxhash64("od_id"), F.lit(salts)).cast("int")))
+    goals = cut_lineage(goals.select("*", salt))
     state = od.select("od_id", F.col("start").alias("node"), F.lit(0.0).alias("cost"), F.lit(True).alias("active"))
     state = cut_lineage(state.join(place, "node"))
 
@@ -306,7 +334,8 @@ def shortest_costs(
         busy = s.where("active").select("od_id", "block").distinct()
         work = s.join(busy, ["od_id", "block"], "left_semi").select("block", "salt", "od_id", "node", "cost", "active", *box)
         needed = work.select(F.col("block").alias("_rb"), F.col("salt").alias("_rs")).distinct()
-        roads = e.join(needed, F.col("block") == F.col("_rb")).select("_rb", "_rs", "src", "dst", "cost", "inside", "dlng", "dlat")
+        mine = F.col("block") == F.col("_rb")
+        roads = e.join(needed, mine & (F.col("salt") == F.col("_rs")) if own else mine).select("_rb", "_rs", "src", "dst", "cost", "inside", "dlng", "dlat")
         found = work.groupBy("block", "salt").cogroup(roads.groupBy("_rb", "_rs")).applyInPandas(
             _relax_block, "od_id bigint, node bigint, cost double, crossed boolean"
         )
@@ -380,12 +409,11 @@ def assemble_routes(od: DataFrame, snaps: DataFrame, path_edges: DataFrame) -> D
         snaps.select("od_id", "snapped_from_m", "snapped_to_m"), "od_id")
 
 
-def route(od: DataFrame, segs: DataFrame, tol_m: float = STITCH_M, snap_m: float = SNAP_M, boxes: DataFrame | None = None, **options):
-    """(routes, path edges) for a table of pairs over one road table."""
-    nodes, edges = stitched_graph(segs, tol_m)
-    snaps = cut_lineage(snap_pairs(od, nodes, snap_m).where("start <> goal"))
-    asked = snaps if boxes is None else snaps.join(boxes.select("od_id", "west", "south", "east", "north"), "od_id")
-    costs = shortest_costs(asked, nodes, edges, **options)
+def route(od: DataFrame, segs: DataFrame, tol_m: float = STITCH_M, snap_m: float = SNAP_M, within: tuple[str, ...] = (), **options):
+    """(routes, path edges) for a table of pairs over one road table; ``within=("od_id",)``: over each pair's own roads."""
+    nodes, edges = stitched_graph(segs, tol_m, within)
+    snaps = cut_lineage(snap_pairs(od, nodes, snap_m, within=within).where("start <> goal"))
+    costs = shortest_costs(snaps, nodes, edges, **options)
     path = trace_paths(snaps, costs, edges)
     return assemble_routes(od, snaps, path), path
 
@@ -395,37 +423,44 @@ def stitch_for(zoom: int) -> float:
     return float(math.floor(25 * 2 ** (14 - zoom) + 0.5))
 
 
-def _turned_boxes(boxes: DataFrame) -> DataFrame:
-    """Boxes, and once more by a full turn those that reach beyond the antimeridian."""
-    turn = F.explode(F.array(F.lit(0.0), F.lit(360.0), F.lit(-360.0)))
-    b = boxes.select("south", "north", "west", "east", turn.alias("_t"))
-    return b.select((F.col("west") + F.col("_t")).alias("west"), "south", (F.col("east") + F.col("_t")).alias("east"), "north").where("west <= 180 and east >= -180")
+def corridor_roads(plan: DataFrame, roads: DataFrame) -> DataFrame:
+    """The roads of every pair's corridor (``plan``: rows of ``corridors`` of one zoom), with ``od_id``: those with a vertex in one
+    of its tiles.  A road comes once for each pair whose corridor it is in."""
+    z = F.col("z")
+    turn = F.explode(F.array(F.lit(0.0), F.lit(360.0), F.lit(-360.0)))  # a corridor may reach beyond the antimeridian
+    box = plan.select(
+        "od_id", "z", "x0", "x1", "y0", "y1", turn.alias("_t"), cells.tile_lng("x0", "z").alias("_w"), cells.tile_lng(F.col("x1") + 1, "z").alias("_e"),
+        cells.tile_lat("y0", "z").alias("_n"), cells.tile_lat(F.col("y1") + 1, "z").alias("_s"))
+    box = box.withColumns({"west": F.col("_w") + F.col("_t"), "east": F.col("_e") + F.col("_t"), "south": F.col("_s"), "north": F.col("_n")}).where("west <= 180 and east >= -180")
+    at = roads.select("seg_id", F.explode("coords").alias("c")).select("seg_id", "c.lng", "c.lat")
+    near = spatial.points_in_boxes(at, box.drop("_t", "_w", "_e", "_n", "_s"), 1e-9)
+    n = F.pow(F.lit(2.0), z).cast("long")
+    inside = (F.pmod(F.floor(cells.tile_xf("lng", z)) - F.col("x0"), n) <= F.col("x1") - F.col("x0")) & F.floor(cells.tile_yf("lat", z)).between(F.col("y0"), F.col("y1"))
+    return roads.drop("od_id").join(near.where(inside).select("od_id", "seg_id").distinct(), "seg_id")
 
 
 def route_with_fallback(od: DataFrame, segs_by_zoom: DataFrame, zooms: list[int] = ZOOMS, max_tiles: int = MAX_TILES, **options) -> DataFrame:
     """Routes at the finest zoom that works for each pair; pairs too far apart are reported as such.
 
-    All unresolved pairs try a level together on the roads of their corridors; each search stays in its own box.
+    All unresolved pairs try a level together, each on a graph of the roads of its own corridor: components, stitches
+    and snaps know no other pair's roads.  ``approx``: the route needed four times the zoom's stitch tolerance.
     """
+    within = ("od_id",)
     plan = cut_lineage(corridors(od, zooms, max_tiles))
     done = None
     for z in zooms:
-        at_zoom = segs_by_zoom.where(F.col("z") == z)
+        at_zoom = segs_by_zoom.where(F.col("z") == z).drop("z")
+        roads = None
         for factor in (1, 4):
             todo = plan.where(F.col("z") == z)
             if done is not None:
                 todo = todo.join(done.select("od_id"), "od_id", "left_anti")
-            if todo.limit(1).count() == 0:
-                break
-            near = spatial.points_in_boxes(
-                at_zoom.select("seg_id", F.explode("coords").alias("c")).select("seg_id", "c.lng", "c.lat"),
-                _turned_boxes(todo),
-            ).select("seg_id").distinct()
-            segs = cut_lineage(at_zoom.join(near, "seg_id", "left_semi"))
+            if roads is None:
+                roads = cut_lineage(corridor_roads(todo, at_zoom))
+            segs = roads.join(todo.select("od_id"), "od_id", "left_semi")
             if segs.limit(1).count() == 0:
-                break
-            pairs = todo.select(*od.columns)
-            found, _ = route(pairs, segs, stitch_for(z) * factor, ROUTE_SNAP_M, todo, **options)
+                break  # no open pair has a road here, with either tolerance
+            found, _ = route(todo.select(*od.columns), cut_lineage(segs), stitch_for(z) * factor, ROUTE_SNAP_M, within, **options)
             found = cut_lineage(found.withColumn("z", F.lit(z)).withColumn("approx", F.lit(factor != 1)))
             done = found if done is None else cut_lineage(done.unionByName(found))
     far = od.join(plan.select("od_id").distinct(), "od_id", "left_anti").withColumn("_far", F.lit(True)).select("od_id", "_far")

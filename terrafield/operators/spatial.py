@@ -29,10 +29,12 @@ def within_radius(
     earth: float = geo.EARTH_EQUATORIAL_M,
     strict: bool = False,
     extra: Column | None = None,
+    on: tuple[str, ...] = (),
 ) -> DataFrame:
     """Pairs of a point (``lng``, ``lat``) and a target (``t_lng``, ``t_lat``) no further apart than the radius.
 
-    Targets keep one row each; a point is listed under every cell its circle touches.  ``dist_m`` is added.
+    Targets keep one row each; a point is listed under every cell its circle touches.  ``dist_m`` is added.  Both sides
+    have the columns ``on`` and meet only where these are equal.
     """
     size = max(cells.size_for(radius_m), 1e-4)
     p = points.where(F.col("lng").isNotNull() & F.col("lat").isNotNull()).withColumn(
@@ -43,7 +45,7 @@ def within_radius(
     )
     d = geo.haversine("lng", "lat", "t_lng", "t_lat", earth)
     box = F.abs(F.col("lat") - F.col("t_lat")) <= radius_m / 110000.0
-    pairs = p.join(t, "_cell").where(box)
+    pairs = p.join(t, ["_cell", *on]).where(box)
     if extra is not None:
         pairs = pairs.where(extra)
     pairs = pairs.withColumn("dist_m", d)
