@@ -37,7 +37,9 @@ VIEWS: dict[str, str | dict[str, str]] = {
     "v_mvum": "select k as mvum_id, cast(1 + k % 12 as string) as symbol, 'FR ' || cast(k % 400 as string) as name, case when l_returnflag = 'A' then 'Seasonal' when l_returnflag = 'N' then ' ' else null end as seasonal, case when l_linestatus = 'F' then 'open' when l_linestatus = 'O' then ' ' else null end as passengervehicle, case when k % 3 = 0 then '06/01-10/15' when k % 3 = 1 then '01/01-12/31' else '13/01-02/02' end as dates, -121.5e0 + ((k * 7) % 400) * 0.001e0 as lng1, 44.0e0 + ((k * 3) % 400) * 0.001e0 as lat1, -121.5e0 + ((k * 7) % 400 + 6) * 0.001e0 as lng2, 44.0e0 + ((k * 3) % 400 + 4) * 0.001e0 as lat2 from (select *, l_orderkey * 8 + l_linenumber as k from lineitem) as l",
     "v_mesh": "select user_id as num, event_id as arrival, case when event_type in ('signup', 'error') then null else -121.0e0 + (user_id % 50) * 0.02e0 + event_id % 97 * 0.0001e0 end as lng, case when event_type in ('signup', 'error') then null else 44.0e0 + (user_id % 40) * 0.02e0 + event_id % 89 * 0.0001e0 end as lat, cast(1704067200 + event_id * 60 - (event_id * 37) % 9000 as bigint) as pos_time, case when event_type = 'signup' then 'node ' || cast(event_id % 7 as string) else null end as long_name, case when event_id % 3 = 0 then cast(event_id % 120 as int) else null end as battery, 10 + event_id % 23 as precision_bits, cast(1704067200 + event_id * 60 as bigint) as last_heard from events",
     "v_pin": "select c_custkey as pin_id, lower(c_mktsegment) || ' ' || cast(c_custkey % 90 as string) as name, case when c_custkey % 4 = 0 then 'water near camp' else null end as note, cast(1700000000 + c_custkey * 3600 as bigint) as t, -124.0e0 + ((c_custkey * 7907) % 100003) / 100003.0e0 * 7.0e0 as lng, 42.0e0 + ((c_custkey * 104723) % 100019) / 100019.0e0 * 4.0e0 as lat, c_custkey % 25 as owner from customer",
-    "v_query": "select cast(n_nationkey as bigint) as query_id, case n_nationkey % 6 when 0 then 'widget' when 1 then 'bolt' when 2 then 'Sm' when 3 then 'ring' when 4 then 'supplier#0000000' else '44.' || cast(n_nationkey as string) || ', -121.3' end as text, -124.0e0 + n_nationkey * 0.25e0 as lng, 42.0e0 + n_nationkey * 0.15e0 as lat, cast(n_nationkey as bigint) as owner from nation",
+    # one asker per customer, and one viewer per owner
+    "v_query": "select cast(c_custkey as bigint) as query_id, case c_custkey % 6 when 0 then 'widget' when 1 then 'bolt' when 2 then 'Sm' when 3 then 'ring' when 4 then 'supplier#0000000' else '44.' || cast(c_custkey % 25 as string) || ', -121.3' end as text, -124.0e0 + ((c_custkey * 7919) % 100003) / 100003.0e0 * 7.0e0 as lng, 42.0e0 + ((c_custkey * 104729) % 100019) / 100019.0e0 * 4.0e0 as lat, cast(c_custkey % 25 as bigint) as owner from customer",
+    "v_viewer": "select cast(n_nationkey as bigint) as query_id, case n_nationkey % 6 when 0 then 'widget' when 1 then 'bolt' when 2 then 'Sm' when 3 then 'ring' when 4 then 'supplier#0000000' else '44.' || cast(n_nationkey as string) || ', -121.3' end as text, -124.0e0 + n_nationkey * 0.25e0 as lng, 42.0e0 + n_nationkey * 0.15e0 as lat, cast(n_nationkey as bigint) as owner from nation",
     "v_find": "select query_id, case query_id % 8 when 0 then 'household' when 1 then 'water' when 7 then ' ' else text end as text, lng, lat, owner from v_query",
     "v_region": "select r_regionkey as region_id, substring(r_name, 1, 2) as abbr, -124.0e0 + r_regionkey * 1.4e0 as west, 42.0e0 + r_regionkey * 0.5e0 as south, -122.4e0 + r_regionkey * 1.4e0 as east, 43.5e0 + r_regionkey * 0.5e0 as north, case when r_regionkey % 2 = 0 then 12 else null end as maxzoom from region",
     # one catalogue row per supplier, so that catalogue jobs grow with the data

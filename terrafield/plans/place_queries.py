@@ -210,12 +210,12 @@ def _(t: Tables):
     "k3_sort_nodes",
     f"""
 select m.num, m.arrival, m.lng is not null as positioned, round({q.hav('v.lng','v.lat','m.lng','m.lat')}, 3) as dist_m, m.last_heard
- from (select *, num % 20 as owner from v_mesh) m left join (select owner, case when owner < 15 then lng end as lng, case when owner < 15 then lat end as lat from v_query) v on m.owner = v.owner
+ from (select *, num % 20 as owner from v_mesh) m left join (select owner, case when owner < 15 then lng end as lng, case when owner < 15 then lat end as lat from v_viewer) v on m.owner = v.owner
 """,
 )
 def _(t: Tables):
     nodes = t.view("v_mesh").withColumn("owner", F.col("num") % 20)
-    d = places.sort_nodes(nodes, t.view("v_query").withColumns({c: F.when(F.col("owner") < 15, F.col(c)) for c in ("lng", "lat")}), "owner")
+    d = places.sort_nodes(nodes, t.view("v_viewer").withColumns({c: F.when(F.col("owner") < 15, F.col(c)) for c in ("lng", "lat")}), "owner")
     return d.select("num", "arrival", "positioned", r3("dist_m"), "last_heard")
 
 

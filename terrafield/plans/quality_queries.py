@@ -156,7 +156,7 @@ def _(t: Tables):
     return quality.plants_for_state(t.view("v_plant"), t.view("v_plant_state"), STATES).select("plant_no", "state", "recorded_here", "verdict_rank")
 
 
-_PQ = "select query_id, case query_id % 4 when 0 then 'Brass' when 1 then 'brand#1' when 2 then 'ring ' else 'e' end as text from v_query"
+_PQ = "select query_id, case query_id % 4 when 0 then 'Brass' when 1 then 'brand#1' when 2 then 'ring ' else 'e' end as text from v_viewer"
 
 
 @query(

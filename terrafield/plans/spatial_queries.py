@@ -237,12 +237,12 @@ def _(t: Tables):
     "j19_relative_to",
     f"""
 with d as (select p.pin_id, {q.hav('v.lng','v.lat','p.lng','p.lat')} as m, {q.bearing('v.lng','v.lat','p.lng','p.lat')} as b
-  from v_pin p join v_query v on p.owner = v.owner)
+  from v_pin p join v_viewer v on p.owner = v.owner)
 select pin_id, round(m, 3) as dist_m, round(b, 6) as bearing, {q.cardinal('b')} as direction from d
 """,
 )
 def _(t: Tables):
-    viewers = t.view("v_query").select("owner", "lng", "lat")
+    viewers = t.view("v_viewer").select("owner", "lng", "lat")
     rel = spatial.relative_to(viewers, t.view("v_pin"), "owner")
     return rel.select("pin_id", F.round("dist_m", 3).alias("dist_m"), F.round("bearing", 6).alias("bearing"), "direction")
 
