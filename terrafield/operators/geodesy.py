@@ -200,10 +200,10 @@ def field_model(points: DataFrame, coef: DataFrame) -> DataFrame:
     valid = F.col("n").between(1, MAG_DEGREE) & F.col("m").between(0, F.col("n"))
     if coef.where(~F.coalesce(valid, F.lit(False))).limit(1).count():
         raise ValueError(f"coefficient rows must have degree 1 to {MAG_DEGREE} and order 0 to the degree")
-    rows = (
-        coef
-        .groupBy("n", "m").agg(F.first(F.struct("g", "h", "gdot", "hdot")).alias("c")).select("n", "m", "c.*").collect()
-    )
+    values = F.struct("g", "h", "gdot", "hdot")
+    rows = coef.groupBy("n", "m").agg(F.min(values).alias("c"), F.max(values).alias("_c")).select("n", "m", "c.*", (F.col("c") != F.col("_c")).alias("_twice")).collect()
+    if any(r["_twice"] for r in rows):
+        raise ValueError("a degree and order has two different coefficient rows")
     model = [(r.n, r.m, r.g, r.h, r.gdot, r.hdot, legendre_polynomial(r.n, r.m)) for r in rows]
 
     @F.pandas_udf("declination double, inclination double, intensity double")

@@ -189,6 +189,12 @@ def season_report(points: DataFrame) -> DataFrame:
 
 # --- camp -----------------------------------------------------------------------------------------------------
 
+def filled(template: str, value: Column) -> Column:
+    """A sentence with its one ``{}`` replaced."""
+    before, after = template.split("{}")
+    return F.concat(F.lit(before), value, F.lit(after))
+
+
 def score_camp(sites: DataFrame) -> DataFrame:
     """Score, verdict and ordered reasons from slope_deg, water_m, tree_cover, land and wetland."""
     sl, w = F.col("slope_deg"), F.col("water_m")
@@ -204,16 +210,16 @@ def score_camp(sites: DataFrame) -> DataFrame:
     )
     reasons = F.array_compact(F.array(
         F.when(military, V.CAMP_MILITARY),
-        F.when(sl > 20, F.concat(F.lit("Steep ground ("), deg, F.lit("°) — no flat spot to lie down."))),
+        F.when(sl > 20, filled(V.CAMP_STEEP, deg)),
         F.when(F.col("wetland"), V.CAMP_WETLAND),
         F.when(sl.isNull(), V.CAMP_NO_TERRAIN)
-        .when(sl <= 5, F.concat(F.lit("Flat ground ("), deg, F.lit("°) — good for a tent.")))
-        .when(sl <= 12, F.concat(F.lit("Gently sloped ("), deg, F.lit("°) — sleep with your head uphill.")))
-        .when(sl <= 20, F.concat(F.lit("Noticeably sloped ("), deg, F.lit("°) — water would run through camp."))),
+        .when(sl <= 5, filled(V.CAMP_FLAT, deg))
+        .when(sl <= 12, filled(V.CAMP_GENTLE, deg))
+        .when(sl <= 20, filled(V.CAMP_SLOPED, deg)),
         F.when(w.isNull(), V.CAMP_NO_WATER)
         .when(w < 30, V.CAMP_ON_WATER)
-        .when(w <= 800, F.concat(F.lit("Water about "), metres, F.lit(" m away — close enough to fetch, far enough to be dry.")))
-        .when(w <= 3000, F.concat(F.lit("Nearest water is roughly "), text.fixed(w / 1000, 1), F.lit(" km — a hike, but reachable.")))
+        .when(w <= 800, filled(V.CAMP_NEAR_WATER, metres))
+        .when(w <= 3000, filled(V.CAMP_HIKE_WATER, text.fixed(w / 1000, 1)))
         .otherwise(V.CAMP_FAR_WATER),
         F.when(F.col("tree_cover"), V.CAMP_TREES).otherwise(V.CAMP_OPEN),
         F.when(public, V.CAMP_PUBLIC).when(F.col("land") == "unknown", V.CAMP_UNKNOWN_LAND),
