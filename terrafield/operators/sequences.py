@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import ordered
+from . import ordered, runs
 
 # Fixed values.
 MAX_GAP = 128 * 1024
@@ -14,31 +14,15 @@ GOOD_ENOUGH_M = 20.0
 REFINE_S, HARD_S = 12.0, 25.0
 
 
-def merge_intervals(intervals: DataFrame, key: str, seq: str, max_gap: int = MAX_GAP, max_span: int = MAX_SPAN) -> DataFrame:
+def merge_intervals(intervals: DataFrame, key: str, seq: str, max_gap: int = MAX_GAP, max_span: int = MAX_SPAN,
+                    chunk: int = ordered.CHUNK) -> DataFrame:
     """Merge ordered intervals (``start``, ``length``) while the gap and the merged span stay within limits.
 
     Starts need not rise; the gap counts on whichever side the next interval lies, and an overlap is no gap.  The
-    open interval decides about the next one, so this is an ordered pass with one interval of state.
+    open interval decides about the next one; ``runs.merge_intervals`` works out runs of intervals on their own, so that
+    one long key is many tasks.  Intervals without start or length are left out.
     """
-    types = dict(intervals.dtypes)
-    schema = f"{key} {types[key]}, batch_no bigint, start bigint, length bigint, members bigint"
-
-    def close(s: dict, k: tuple, out: list) -> None:
-        out.append((k[0], s["no"], s["lo"], s["hi"] - s["lo"], s["n"]))
-
-    def step(s: dict, k: tuple, rows: dict[str, list], out: list) -> None:
-        for start, length in zip(rows["start"], rows["length"]):
-            end = start + length
-            if s:
-                gap = max(start - s["hi"], s["lo"] - end, 0)
-                lo, hi = min(start, s["lo"]), max(end, s["hi"])
-                if gap <= max_gap and hi - lo <= max_span:
-                    s.update(lo=lo, hi=hi, n=s["n"] + 1)
-                    continue
-                close(s, k, out)
-            s.update(no=s.get("no", -1) + 1, lo=start, hi=end, n=1)
-
-    return ordered.scan_sorted(intervals.select(key, seq, "start", "length"), [key], [seq], dict, step, close, schema)
+    return runs.merge_intervals(intervals, key, seq, max_gap, max_span, chunk)
 
 
 def refine_fix(requests: DataFrame, fixes: DataFrame) -> DataFrame:
