@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import text
 from ..operators.rules import node_status
+from ..session import delete_tables
 from ..sources.clean import drop_null_island
 
 POSITION = ["lng", "lat", "altitude", "pos_time", "uncertainty_m"]
@@ -49,25 +50,80 @@ def latest_nodes(updates: DataFrame) -> DataFrame:
     return g.select("num", *[F.col("_pos")[c].alias(c) for c in pos], *keep)
 
 
-def write_latest(updates: DataFrame, table_path: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Run :func:`latest_nodes` on a stream and append the changed nodes of every trigger to a folder table.
-
-    Each trigger overwrites its own ``batch=`` folder, so a replay after a failure leaves the same table.
-    """
+def write_latest(updates: DataFrame, table_path: str, checkpoint: str, fold_every: int = 20, buckets: int = 16, **trigger) -> StreamingQuery:
+    """Run :func:`latest_nodes` on a stream and keep its result in a state table (:func:`append_batch`)."""
 
     def upsert(changed: DataFrame, batch_id: int) -> None:
-        changed.write.mode("overwrite").parquet(f"{table_path}/batch={batch_id}")
+        append_batch(changed, batch_id, table_path, fold_every, buckets)
 
     writer = latest_nodes(updates).writeStream.outputMode("update").option("checkpointLocation", checkpoint)
     return writer.foreachBatch(upsert).trigger(**(trigger or {"availableNow": True})).start()
 
 
+# --- state table ----------------------------------------------------------------------------------------------
+#
+# <table>/change/<batch>   the nodes that a trigger changed
+# <table>/whole/<batch>    every node as of that batch, in hash buckets
+#
+# A folder counts once its job has committed.  The table is the newest whole folder and all changes after it.
+
+def _folders(spark: SparkSession, parent: str) -> list[int]:
+    """Numbers of the committed folders, rising."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(parent)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    found = [f.getPath() for f in fs.listStatus(path)]
+    done = [f.getName() for f in found if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f, "_SUCCESS"))]
+    return sorted(int(n) for n in done if n.isdigit())
+
+
+def _newest(spark: SparkSession, table_path: str) -> tuple[int, list[str]]:
+    """Batch of the newest whole folder (-1: none) and the folders that make up the table."""
+    changes, wholes = _folders(spark, f"{table_path}/change"), _folders(spark, f"{table_path}/whole")
+    upto = wholes[-1] if wholes else -1
+    parts = [f"{table_path}/whole/{upto}"] * bool(wholes) + [f"{table_path}/change/{c}" for c in changes if c > upto]
+    return upto, parts
+
+
+def _merged(spark: SparkSession, parts: list[str]) -> DataFrame:
+    d = spark.read.parquet(*parts)
+    cols = [c for c in d.columns if c != "num"]
+    return d.groupBy("num").agg(F.max_by(F.struct(*cols), "_batch").alias("r")).select("num", "r.*")
+
+
+def append_batch(changed: DataFrame, batch_id: int, table_path: str, fold_every: int = 20, buckets: int = 16) -> None:
+    """Add the nodes that one trigger changed; fold the changes into a whole table after every ``fold_every`` triggers.
+
+    A replayed batch overwrites its own folder, or is left out if a fold already holds it, so the table stays the same.
+    A fold writes a new folder beside the old ones.  It then deletes what the fold before it had already replaced, so a
+    reader that began before this fold still finds its files, and the table never has more than two whole folders and some
+    ``2 * fold_every`` changes.  One writer at a time, as a streaming query is.
+    """
+    spark = changed.sparkSession
+    before, _ = _newest(spark, table_path)
+    if batch_id <= before:
+        return
+    changed.withColumn("_batch", F.lit(batch_id).cast("bigint")).write.mode("overwrite").parquet(f"{table_path}/change/{batch_id}")
+    _, parts = _newest(spark, table_path)
+    if len(parts) - (before >= 0) < fold_every:
+        return
+    whole = _merged(spark, parts).repartition(buckets, "num").sortWithinPartitions("num")
+    whole.write.mode("overwrite").parquet(f"{table_path}/whole/{batch_id}")
+    old = [f"{table_path}/change/{c}" for c in _folders(spark, f"{table_path}/change") if c <= before]
+    old += [f"{table_path}/whole/{w}" for w in _folders(spark, f"{table_path}/whole") if w < before]
+    delete_tables(spark, old)
+
+
 def read_latest(spark: SparkSession, table_path: str) -> DataFrame:
-    """Current row of every node from the folder table."""
-    d = spark.read.parquet(table_path)
-    cols = [c for c in d.columns if c not in ("num", "batch")]
-    g = d.groupBy("num").agg(F.max_by(F.struct(*cols), "batch").alias("r"))
-    return g.select("num", "r.*")
+    """Current row of every node; a table without a committed batch is an error.
+
+    The result keeps to the folders that were there when it was made, and can be read until the fold after the next.
+    """
+    _, parts = _newest(spark, table_path)
+    if not parts:
+        raise ValueError(f"no batch has been written to {table_path}")
+    return _merged(spark, parts).drop("_batch")
 
 
 def status_feed(latest: DataFrame, now) -> DataFrame:
