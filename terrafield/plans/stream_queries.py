@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import sequences
-from ..session import scratch_path
+from ..session import STATE_STORE, scratch_path, use_rocksdb
 from ..sources import gpx, tables
 from ..streaming import fixes, nodes, tracks
 from . import sqlgen as q
@@ -47,20 +47,37 @@ def _(t: Tables):
 _REC = "select node * 4 + fix_id % 4 as session_id, node as device_id, case when fix_id > 300 and fix_id % 4 = 1 then 2 else 1 end as generation, fix_id as seq, ts, lng, lat from v_fix"
 
 
-@query(
-    "t2_live_track",
-    f"""
+_TRACK_SQL = f"""
 with r as ({_REC}), b as (select device_id, generation, min(seq) as b from r group by 1, 2),
 k as (select r.* from r where not exists (select 1 from b where b.device_id = r.device_id and b.generation > r.generation and r.seq >= b.b)),
 leg as (select session_id, ts, {q.hav('lag(lng) over w','lag(lat) over w','lng','lat')} as m from k window w as (partition by session_id order by seq))
 select session_id, round(coalesce(sum(m), 0), 3) as length_m, count(*) as points, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 as duration_s from leg group by 1 having count(*) > 1
-""",
-)
+"""
+
+
+@query("t2_live_track", _TRACK_SQL)
 def _(t: Tables):
     d = tracks.live_track(tracks.drop_superseded(t.sql(_REC)))
     return d.select("session_id", r3("length_m"), "points", "duration_s")
 
 
+@query("t2_live_track_stream", _TRACK_SQL)
+def _(t: Tables):
+    """The same from a stream: totals of every trigger are written, the last ones read back."""
+    base = scratch_path(t.spark, f"tracks-{uuid.uuid4().hex}")
+    t.sql(_REC).write.parquet(f"{base}/in")
+    fixes = t.spark.readStream.schema(t.sql(_REC).schema).parquet(f"{base}/in")
+    before = t.spark.conf.get(STATE_STORE)
+    use_rocksdb(t.spark)
+    try:
+        tracks.live_track_stream(fixes).writeStream.outputMode("update").option("checkpointLocation", f"{base}/checkpoint").foreachBatch(
+            lambda d, i: d.write.mode("overwrite").parquet(f"{base}/out/batch={i}")).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        t.spark.conf.set(STATE_STORE, before)
+    last = t.spark.read.parquet(f"{base}/out").groupBy("session_id").agg(F.max_by(F.struct("length_m", "points", "duration_s"), "batch").alias("r"))
+    return last.select("session_id", "r.*").where("points > 1").select("session_id", r3("length_m"), "points", "duration_s")
+
+
 def _asks(t: Tables):
     """Every event a fix; requests start a little before, or far before, their first fix."""
     f = t.sql("select cast(floor(event_id / 7) as bigint) as request_id, event_id as seq, timestamp_micros(1704067200000000 + event_id * 2300000 + (event_id % 3) * 400000) as ts, lng, lat, accuracy from (select fix_id as event_id, lng, lat, case when fix_id % 13 = 0 then null else 5.0e0 + fix_id % 60 end as accuracy from v_fix)")

@@ -27,10 +27,12 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
     )
 
 
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
 def use_rocksdb(spark: SparkSession) -> None:
     """Keep the state of streams in RocksDB, as operators with several state variables need; for queries started from now on."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
-                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark.conf.set(STATE_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
 def _ensure_checkpoint_dir(spark: SparkSession) -> None:

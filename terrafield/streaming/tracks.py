@@ -14,7 +14,7 @@ from ..functions import geo
 from ..operators import paths
 
 SCHEMA = "session_id bigint, points bigint, length_m double, duration_s double"
-_STATE = "lng double, lat double, points bigint, length_m double, first double, last double"
+_STATE = "lng double, lat double, points bigint, length_m double, first bigint, last bigint"
 
 
 def drop_superseded(fixes: DataFrame) -> DataFrame:
@@ -62,8 +62,8 @@ class _Recordings(StatefulProcessor):
             x, y = np.radians(lng), np.radians(lat)
             s = np.sin(np.diff(y) / 2) ** 2 + np.cos(y[:-1]) * np.cos(y[1:]) * np.sin(np.diff(x) / 2) ** 2
             length += float((2 * geo.EARTH_EQUATORIAL_M * np.arcsin(np.minimum(1.0, np.sqrt(s)))).sum())
-            self._totals.updateValue((int(session),), (float(lng[-1]), float(lat[-1]), int(points), length, float(first), float(last)))
-            out.append((int(session), int(points), length, float(last - first)))
+            self._totals.updateValue((int(session),), (float(lng[-1]), float(lat[-1]), int(points), length, int(first), int(last)))
+            out.append((int(session), int(points), length, float((last - first) / 1e6)))
         if out:
             yield pd.DataFrame(out, columns=["session_id", "points", "length_m", "duration_s"])
 
@@ -81,7 +81,7 @@ def live_track_stream(fixes: DataFrame, ttl_s: float | None = None) -> DataFrame
     RocksDB state store (:func:`terrafield.session.use_rocksdb`).
     """
     f = fixes.select("device_id", F.col("generation").cast("bigint").alias("generation"), F.col("session_id").cast("bigint").alias("session_id"),
-                     "seq", "lng", "lat", F.col("ts").cast("timestamp").cast("double").alias("t"))
+                     "seq", "lng", "lat", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
     ttl_ms = None if ttl_s is None else int(ttl_s * 1000)
     return f.groupBy("device_id").transformWithStateInPandas(
         _Recordings(ttl_ms), outputStructType=SCHEMA, outputMode="Update", timeMode="None" if ttl_ms is None else "ProcessingTime")
