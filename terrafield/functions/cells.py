@@ -94,6 +94,11 @@ def cell_of(lng, lat, size_deg: float) -> Column:
     return (band * _BAND + idx).cast("bigint")
 
 
+def cell_width(lat, size_deg: float) -> Column:
+    """Width in degrees of longitude of the cells in the band of a latitude."""
+    return 360.0 / _cells_in_band(_band(lat, size_deg), size_deg)
+
+
 def cells_around(lng, lat, reach_deg, size_deg: float) -> Column:
     """Every cell that a circle of ``reach_deg`` degrees of latitude around the point may touch."""
     lng, lat = col(lng), col(lat)

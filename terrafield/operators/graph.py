@@ -185,8 +185,8 @@ def stitched_graph(segs: DataFrame, tol_m: float = STITCH_M, within: tuple[str,
 def knn_nodes(points: DataFrame, nodes: DataFrame, point_id: str, k: int = SNAP_CANDIDATES, max_m: float = SNAP_M, within: tuple[str, ...] = ()) -> DataFrame:
     """Up to k nearest graph nodes within a radius; with ``within`` nodes of the point's own graph."""
     t = nodes.select(*within, "node_id", "comp", F.col("lng").alias("t_lng"), F.col("lat").alias("t_lat"))
-    pairs = spatial.within_radius(points.select(*dict.fromkeys([point_id, *within]), "lng", "lat"), t, max_m, geo.EARTH_MEAN_M, on=within)
-    return spatial.k_nearest(pairs, point_id, "node_id", k).select(point_id, "node_id", "comp", "dist_m", "rank")
+    near = spatial.k_nearest_by_density(points, t, point_id, "node_id", k, max_m, geo.EARTH_MEAN_M, on=within)
+    return near.select(point_id, "node_id", "comp", "dist_m", "rank")
 
 
 def snap_pairs(od: DataFrame, nodes: DataFrame, max_m: float = SNAP_M, k: int = SNAP_CANDIDATES, within: tuple[str, ...] = ()) -> DataFrame:

@@ -6,6 +6,8 @@ nothing here forces a broadcast or a nested loop.  Candidate pairs are aggregate
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,6 +76,55 @@ def k_nearest(pairs: DataFrame, point_id: str, target_id: str, k: int, rank: str
     return pairs.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
 
 
+def k_nearest_by_density(
+    points: DataFrame, targets: DataFrame, point_id: str, target_id: str, k: int, max_m: float | None = None,
+    earth: float = geo.EARTH_EQUATORIAL_M, on: tuple[str, ...] = (), finest_m: float = 15.0,
+) -> DataFrame:
+    """The k closest targets (``t_lng``, ``t_lat``) of every point, ties by id, at most ``max_m`` away (None: anywhere).
+
+    The search radius follows the density: targets are counted in cells of a ladder of sizes, each a quarter of the one
+    above.  If the cell around a point holds k of them, all lie within the cell's extent, so that radius is certain to
+    reach the k closest; the smallest such cell is taken.  Where none holds k, the search goes to ``max_m``, or without one to
+    all targets with equal ``on``, fewer than k in any cell.  A point so meets some multiple of k targets however many
+    lie within ``max_m``.  Rows without a position are left out on both sides; equal points are searched once.
+    """
+    top = max_m if max_m is not None else 20_100_000.0
+    radii = [top]
+    while radii[-1] / 4 >= finest_m:
+        radii.append(radii[-1] / 4)
+    ladder = [(i, r, r / 2.2 / 111_320.0) for i, r in enumerate(radii)][1:]
+    p = points.where(F.col("lng").isNotNull() & F.col("lat").isNotNull()).select(*dict.fromkeys([*on, point_id, *AT]))
+    t = targets.where(F.col("t_lng").isNotNull() & F.col("t_lat").isNotNull())
+
+    held = [F.struct(F.lit(i).alias("_level"), cells.cell_of("t_lng", "t_lat", size).alias("_cell")) for i, _, size in ladder]
+    full = t.select(*on, F.explode(F.array(*held)).alias("_h")).groupBy(*on, "_h._level", "_h._cell").agg(F.count(F.lit(1)).alias("_n"))
+    full = full.where(F.col("_n") >= k).select(*on, "_level", "_cell", F.lit(True).alias("_full"))
+    around = [F.struct(F.lit(0).alias("_level"), F.lit(0).cast("bigint").alias("_cell"))]
+    for i, r, size in ladder:
+        # along the point's parallel to the other's longitude, then along the meridian: no two of a cell are further apart
+        extent = (size + cells.cell_width("lat", size) * F.cos(F.radians("lat"))) * (math.pi / 180 * earth)
+        at = F.when(extent <= r, cells.cell_of("lng", "lat", size))
+        around.append(F.struct(F.lit(i).alias("_level"), at.alias("_cell")))
+    a = p.select(*p.columns, F.explode(F.array(*around)).alias("_a")).select(*p.columns, "_a._level", "_a._cell")
+    a = a.join(full, [*on, "_level", "_cell"], "left").where("_level = 0 or _full").groupBy(*p.columns).agg(F.max("_level").alias("_level"))
+
+    listed, kept = F.when(F.lit(False), F.array().cast("array<bigint>")), []
+    for i, r in enumerate(radii):
+        if i == 0 and max_m is None:
+            here, there = F.array(F.lit(0).cast("bigint")), F.lit(0).cast("bigint")
+        else:
+            size = max(cells.size_for(r), 1e-4)
+            here, there = cells.cells_around("lng", "lat", cells.size_for(r), size), cells.cell_of("t_lng", "t_lat", size)
+        listed = listed.when(F.col("_level") == i, here)
+        kept.append(F.struct(F.lit(i).alias("_level"), there.alias("_cell")))
+    a = a.withColumn("_cell", F.explode(listed))
+    t = t.withColumn("_k", F.explode(F.array(*kept))).select(*t.columns, "_k._level", "_k._cell")
+    near = a.join(t, [*on, "_level", "_cell"]).withColumn("dist_m", geo.haversine("lng", "lat", "t_lng", "t_lat", earth))
+    reach = F.element_at(F.array(*[F.lit(r) for r in radii]), F.col("_level") + 1)
+    near = near.where((F.col("dist_m") <= reach) if max_m is not None else (F.col("dist_m") <= reach) | (F.col("_level") == 0))
+    return k_nearest(near.drop("_level", "_cell"), point_id, target_id, k)
+
+
 def nearest_town(places: DataFrame, limit_mi: float = TOWN_LIMIT_MI, only: DataFrame | None = None) -> DataFrame:
     """Best settlement anchor of every non-settlement place: distance discounted by how well known the town is.
 
