@@ -72,11 +72,11 @@ def hilbert_tile_id(z, x, y) -> Column:
 # poles do not degenerate.  A cell id packs (band, index).  Whatever the cell width, `cells_around` lists every
 # cell that a circle can touch, so joins on it are exact.
 
-def _band(lat, size_deg: float) -> Column:
+def _band(lat, size_deg) -> Column:
     return F.floor((col(lat) + 90.0) / size_deg)
 
 
-def _cells_in_band(band: Column, size_deg: float) -> Column:
+def _cells_in_band(band: Column, size_deg) -> Column:
     low, high = F.abs(band * size_deg - 90.0), F.abs((band + 1) * size_deg - 90.0)
     edge = F.least(F.greatest(low, high), F.lit(89.9))
     return F.greatest(F.lit(1), F.floor(F.cos(F.radians(edge)) * (360.0 / size_deg))).cast("bigint")
@@ -87,19 +87,19 @@ def size_for(metres: float) -> float:
     return max(metres / 110000.0, 1e-5)
 
 
-def cell_of(lng, lat, size_deg: float) -> Column:
+def cell_of(lng, lat, size_deg) -> Column:
     band = _band(lat, size_deg)
     n = _cells_in_band(band, size_deg)
     idx = F.pmod(F.floor((col(lng) + 180.0) / 360.0 * n), n)
     return (band * _BAND + idx).cast("bigint")
 
 
-def cell_width(lat, size_deg: float) -> Column:
+def cell_width(lat, size_deg) -> Column:
     """Width in degrees of longitude of the cells in the band of a latitude."""
     return 360.0 / _cells_in_band(_band(lat, size_deg), size_deg)
 
 
-def cells_around(lng, lat, reach_deg, size_deg: float) -> Column:
+def cells_around(lng, lat, reach_deg, size_deg) -> Column:
     """Every cell that a circle of ``reach_deg`` degrees of latitude around the point may touch."""
     lng, lat = col(lng), col(lat)
     reach = (reach_deg if isinstance(reach_deg, Column) else F.lit(float(reach_deg))) * 1.0001
