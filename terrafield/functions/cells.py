@@ -70,14 +70,21 @@ def hilbert_tile_id(z, x, y) -> Column:
 # --- search cells ---------------------------------------------------------------------------------------------
 # Latitude bands of equal height; each band is cut into cells about as wide as they are high, so cells near the
 # poles do not degenerate.  A cell id packs (band, index).  Whatever the cell width, `cells_around` lists every
-# cell that a circle can touch, so joins on it are exact.
+# cell that a circle can touch, so joins on it are exact.  A latitude beyond a pole has bands of its own, cut as at the place
+# that distances take it for (on the far side of the pole), so there too a circle meets a few cells.
+
+def _folded(lat: Column) -> Column:
+    """Degrees from the equator of any latitude; unchanged up to the poles."""
+    a = F.abs(lat)
+    return F.abs(a - F.floor(a / 180.0 + 0.5) * 180.0)
+
 
 def _band(lat, size_deg) -> Column:
     return F.floor((col(lat) + 90.0) / size_deg)
 
 
 def _cells_in_band(band: Column, size_deg) -> Column:
-    low, high = F.abs(band * size_deg - 90.0), F.abs((band + 1) * size_deg - 90.0)
+    low, high = _folded(band * size_deg - 90.0), _folded((band + 1) * size_deg - 90.0)
     edge = F.least(F.greatest(low, high), F.lit(89.9))
     return F.greatest(F.lit(1), F.floor(F.cos(F.radians(edge)) * (360.0 / size_deg))).cast("bigint")
 
@@ -103,12 +110,11 @@ def cells_around(lng, lat, reach_deg, size_deg) -> Column:
     """Every cell that a circle of ``reach_deg`` degrees of latitude around the point may touch."""
     lng, lat = col(lng), col(lat)
     reach = (reach_deg if isinstance(reach_deg, Column) else F.lit(float(reach_deg))) * 1.0001
-    top = F.abs(lat) + reach
+    top = _folded(lat) + reach
     dlng = F.when(top >= 89.5, F.lit(180.0)).otherwise(
         F.least(F.lit(180.0), reach / F.cos(F.radians(top)) * 1.001)
     )
-    bands = F.sequence(_band(F.greatest(F.lit(-90.0), lat - reach), size_deg),
-                       _band(F.least(F.lit(90.0), lat + reach), size_deg))
+    bands = F.sequence(_band(lat - reach, size_deg), _band(lat + reach, size_deg))
 
     def in_band(band):
         n = _cells_in_band(band, size_deg)
