@@ -23,8 +23,11 @@ LEVELS = tuple(range(2, 23, 2))
 WHOLE = 32
 #: Most cells from side to side of a polygon.
 MOST_CELLS = 256
+#: An index of no more cells is left to the planner, which may broadcast it.
+BROADCAST_CELLS = 10_000
 #: Degrees by which cells count as touched, far above rounding and far below any cell.
 EPS = 1e-9
+_BOX = ["_west", "_south", "_east", "_north"]
 _CELL = ["_lv", "_cx", "_cy"]
 _RINGS = "array<struct<hole:boolean,odd:int,edges:array<struct<ax:double,ay:double,bx:double,by:double,fa:int,fb:int>>>>"
 
@@ -41,10 +44,10 @@ def with_bounds(areas: DataFrame, rings: str = "rings") -> DataFrame:
 
 
 def _leveled(areas: DataFrame, rings: str) -> DataFrame:
-    """Add ``_v`` (vertices) and ``_lv``: the finest level at which the box spans some square root of them."""
-    d = with_bounds(areas, rings).withColumn("_v", F.aggregate(F.col(rings), F.lit(0), lambda a, r: a + F.size(r)))
+    """Add ``_v`` (vertices), the box and ``_lv``: the finest level at which the box spans some square root of them."""
+    d = with_bounds(areas, rings).withColumns({b: F.col(b[1:]) for b in _BOX}).withColumn("_v", F.aggregate(F.col(rings), F.lit(0), lambda a, r: a + F.size(r)))
     span = F.greatest(F.col("east") - F.col("west"), F.col("north") - F.col("south"))
-    across = F.when(F.col("_v") <= WHOLE, 8.0).otherwise(F.least(F.lit(float(MOST_CELLS)), F.greatest(F.lit(8.0), F.sqrt("_v"))))
+    across = F.when(F.col("_v") <= WHOLE, 4.0).otherwise(F.least(F.lit(float(MOST_CELLS)), F.greatest(F.lit(8.0), F.sqrt("_v"))))
     level = F.lit(LEVELS[0])
     for lv in LEVELS[1:]:
         level = F.when(span <= across * (360.0 / (1 << lv)), lv).otherwise(level)
@@ -64,8 +67,14 @@ def _whole_cells(areas: DataFrame, rings: str) -> DataFrame:
 
     rows = F.transform(F.col(rings), lambda r, i: F.struct((i > 0).alias("hole"), F.lit(0).alias("odd"), edges(r).alias("edges")))
     cover = lambda lo, hi, zero: F.explode(F.sequence(F.floor((F.col(lo) + zero) / size), F.floor((F.col(hi) + zero) / size)))
-    d = areas.withColumn("_cx", cover("west", "east", 180.0)).withColumn("_cy", cover("south", "north", 90.0))
-    return d.withColumn("_rings", rows.cast(_RINGS))
+    d = areas.withColumn("_all", rows.cast(_RINGS))  # once a polygon, not once a cell
+    # a ring crossed at its two upright sides only is a rectangle to the test: its box says all
+    up = F.filter(F.col("_all")[0]["edges"], lambda e: e["ay"] != e["by"])
+    side = lambda e, x: (e["ax"] == F.col(x)) & (e["bx"] == F.col(x)) & (F.least(e["ay"], e["by"]) == F.col("_south")) & (F.greatest(e["ay"], e["by"]) == F.col("_north"))
+    plain = (F.size("_all") == 1) & (F.size(up) == 2) & F.exists(up, lambda e: side(e, "_west")) & F.exists(up, lambda e: side(e, "_east")) & (F.col("_west") < F.col("_east"))
+    d = d.withColumn("_plain", F.coalesce(plain, F.lit(False)))
+    d = d.withColumn("_rings", F.when(F.col("_plain"), F.array().cast(_RINGS)).otherwise(F.col("_all"))).drop("_all")
+    return d.withColumn("_cx", cover("_west", "_east", 180.0)).withColumn("_cy", cover("_south", "_north", 90.0))
 
 
 def _x_at(lat, e: str = "") -> Column:
@@ -130,16 +139,16 @@ def _clipped_cells(areas: DataFrame, rings: str) -> DataFrame:
 
 
 def polygon_index(areas: DataFrame, rings: str = "rings") -> DataFrame:
-    """The cells of all polygons: the columns of ``areas`` but ``rings``, the cell, and ``_rings``: per ring a parity and the
-    edges that touch the cell.  Written, so that any number of joins can use it; jobs run when this is called.
+    """The cells of all polygons: the columns of ``areas`` but ``rings``, the cell, the polygon's box, ``_plain`` if it is a
+    rectangle, and else ``_rings``: per ring a parity and the edges that touch the cell.  Written, so that any number of joins can use it; jobs run when this is called.
 
     The first ring is the outer one, the others are holes.  Null or empty rings have no cells.
     """
     rest = [c for c in areas.columns if c != rings]
     d = _leveled(areas, rings).where(F.size(rings) > 0)
-    small = _whole_cells(d.where(F.col("_v") <= WHOLE), rings).select(*rest, *_CELL, "_rings")
-    large = cut_lineage(d.where(F.col("_v") > WHOLE).select(*rest, rings, "_lv", F.monotonically_increasing_id().alias("_area")))
-    cells = _clipped_cells(large, rings).join(large.drop(rings), "_area").select(*rest, *_CELL, "_rings")
+    small = _whole_cells(d.where(F.col("_v") <= WHOLE), rings).select(*rest, *_CELL, *_BOX, "_plain", "_rings")
+    large = cut_lineage(d.where(F.col("_v") > WHOLE).select(*rest, rings, "_lv", *_BOX, F.monotonically_increasing_id().alias("_area")))
+    cells = _clipped_cells(large, rings).join(large.drop(rings), "_area").select(*rest, *_CELL, *_BOX, F.lit(False).alias("_plain"), "_rings")
     return cut_lineage(small.unionByName(cells))
 
 
@@ -162,9 +171,16 @@ def points_in_index(points: DataFrame, index: DataFrame) -> DataFrame:
 
     A point is listed once per level that occurs.  A point with a null coordinate is in no polygon.
     """
-    levels = sorted(r["_lv"] for r in index.select("_lv").distinct().collect())  # eleven at most
+    count = {r["_lv"]: r["count"] for r in index.groupBy("_lv").count().collect()}  # eleven rows at most
+    levels = sorted(count)
     cell = lambda v, zero, lv: F.floor((F.col(v) + zero) / (360.0 / (1 << lv)))
     at = F.array(*[F.struct(F.lit(lv).alias("_lv"), cell("lng", 180.0, lv).alias("_cx"), cell("lat", 90.0, lv).alias("_cy")) for lv in levels or LEVELS[:1]])
     listed = points.withColumn("_at", F.explode(at)).select(*[F.col(c) for c in points.columns], "_at.*")
-    pairs = listed.join(index, _CELL)
-    return pairs.where(in_rings(F.col("_rings"), F.col("lng"), F.col("lat"))).drop(*_CELL, "_rings")
+    if sum(count.values()) > BROADCAST_CELLS:
+        listed = listed.hint("merge")  # exploded points look as small as their source to the planner: they must not be collected
+    # a cell reaches beyond the polygon's box: what is outside the box is told by four comparisons, with room for rounding
+    boxed = F.col("lng").between(F.col("_west") - EPS, F.col("_east") + EPS) & F.col("lat").between(F.col("_south") - EPS, F.col("_north") + EPS)
+    rectangle = ((F.col("_south") > F.col("lat")) != (F.col("_north") > F.col("lat"))) & (F.col("lng") < F.col("_east")) & (F.col("lng") >= F.col("_west"))
+    exact = F.when(F.col("_plain"), rectangle).otherwise(in_rings(F.col("_rings"), F.col("lng"), F.col("lat")))
+    pairs = listed.join(index, _CELL).where(boxed & exact)
+    return pairs.drop(*_CELL, *_BOX, "_plain", "_rings")
