@@ -84,8 +84,7 @@ def _(t: Tables):
     plots = rings(t.view("v_plot"))
     names = spatial.recover_labels(plots, t.view("v_label")).select("area_id", "name")
     info = rules.land_info(t.view("v_plot").select("area_id", "kind").join(names, "area_id", "left"))
-    inside = spatial.points_in_areas(t.view("v_place").select("place_id", "lng", "lat"), plots).select("place_id", "area_id")
-    return rules.best_land(inside.join(info, "area_id"), "place_id")
+    return rules.land_at(t.view("v_place"), plots, info, "place_id")
 
 
 _WATERS = "select p.place_id, case p.place_id % 9 when 0 then 'water' when 1 then 'lake' when 2 then 'reservoir' when 3 then 'river' when 4 then 'stream' when 5 then 'canal' when 6 then 'pond' when 7 then 'basin' else 'lagoon' end as kind, p.lng + case p.place_id % 4 when 0 then 0.0e0 when 1 then 20.0e0 when 2 then 40.0e0 else 30.0e0 end as lng, p.lat - case p.place_id % 5 when 0 then 0.0e0 when 1 then 5.0e0 when 2 then 10.0e0 else -1.0e0 end as lat, case when p.place_id % 6 = 0 then null else cast((p.place_id * 131) % 9000 as double) end as elevation_ft from v_place p"
