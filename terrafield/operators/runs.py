@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from . import ordered
 
 
@@ -68,6 +69,18 @@ def _running(v: np.ndarray, combine: np.ufunc, first) -> np.ndarray:
     return combine.accumulate(np.append(first, v[:-1]))
 
 
+def _running_rows(v: np.ndarray, combine: np.ufunc, first) -> np.ndarray:
+    """``_running`` along every row of a matrix."""
+    return combine.accumulate(np.concatenate([np.full_like(v[:, :1], first), v[:, :-1]], axis=1), axis=1)
+
+
+def _by_length(bounds: np.ndarray) -> Iterator[np.ndarray]:
+    """Places of the runs of each length, a matrix with one run a row, so that many short runs take a few steps."""
+    first, width = bounds[:-1], np.diff(bounds)
+    for n in np.unique(width):
+        yield first[width == n, None] + np.arange(n)
+
+
 def _sorted_chunks(rows: DataFrame, key: str, seq: str, chunk: int) -> DataFrame:
     return rows.withColumn("_chunk", F.floor(F.col(seq) / chunk)).repartition(key, "_chunk")
 
@@ -178,21 +191,26 @@ def merge_intervals(intervals: DataFrame, key: str, seq: str, max_gap: int, max_
         for b in batches:
             if b.empty:
                 continue
-            start, end, seqs = b["_lo"].to_numpy(), b["_hi"].to_numpy(), b["_seq"].to_numpy()
+            chunks, start, end, seqs = (b[c].to_numpy() for c in ("_chunk", "_lo", "_hi", "_seq"))
             bounds, run_end = _cut(b, [key, "_chunk"])
             nxt = _next_breaks(start, end, max_gap, max_span)
             (last,) = _chain_ends(np.where(nxt < run_end, nxt, np.arange(len(b))))
-            out = []
-            for a, z in zip(bounds[:-1], bounds[1:]):
-                s, e = start[a:z], end[a:z]
-                hi, lo = _running(e, np.maximum, -FAR), _running(s, np.minimum, FAR)
+            enters = np.empty(len(b), dtype=bool)
+            least, most = np.empty_like(start), np.empty_like(end)
+            for at in _by_length(bounds):  # runs of one length at a time, a row each
+                s, e = start[at], end[at]
+                hi, lo = _running_rows(e, np.maximum, -FAR), _running_rows(s, np.minimum, FAR)
                 beyond = (s - np.maximum(hi, -FAR // 2) > max_gap) | (np.minimum(lo, FAR // 2) - e > max_gap)
-                open_ = np.append(True, (hi - lo <= max_span)[1:])  # a wider run breaks every batch before it
-                rows = a + np.flatnonzero(((e > hi) | (s < lo) | beyond) & open_)
-                least, most = np.minimum.accumulate(s[::-1])[::-1], np.maximum.accumulate(e[::-1])[::-1]
-                leave = last[rows]
-                out.append((b[key].iat[a], b["_chunk"].iat[a], seqs[a], start[rows], end[rows], seqs[leave], least[leave - a], most[leave - a]))
-            yield pd.DataFrame(out, columns=[key, "_chunk", "_seq", "at_lo", "at_hi", "leave", "leave_lo", "leave_hi"])
+                open_ = hi - lo <= max_span  # a wider run breaks every batch before it
+                open_[:, 0] = True
+                enters[at] = ((e > hi) | (s < lo) | beyond) & open_
+                least[at], most[at] = np.minimum.accumulate(s[:, ::-1], axis=1)[:, ::-1], np.maximum.accumulate(e[:, ::-1], axis=1)[:, ::-1]
+            rows = np.flatnonzero(enters)
+            leave, cut = last[rows], np.searchsorted(rows, bounds).tolist()
+            lists = {"at_lo": start[rows], "at_hi": end[rows], "leave": seqs[leave], "leave_lo": least[leave], "leave_hi": most[leave]}
+            first = bounds[:-1]
+            yield pd.DataFrame({key: b[key].take(first).reset_index(drop=True), "_chunk": chunks[first], "_seq": seqs[first]}
+                               | {c: [v[i:j] for i, j in zip(cut, cut[1:])] for c, v in lists.items()})
 
     longs = ", ".join(f"{c} array<bigint>" for c in ("at_lo", "at_hi", "leave_lo", "leave_hi"))
     in_order = lambda rows: rows.repartition(key, "_chunk").sortWithinPartitions(key, "_chunk", "_mark", "_seq")
@@ -225,12 +243,12 @@ def merge_intervals(intervals: DataFrame, key: str, seq: str, max_gap: int, max_
         for b in batches:
             if b.empty:
                 continue
-            start, end, seqs, mark = (b[c].to_numpy() for c in ("_lo", "_hi", "_seq", "_mark"))
+            keys, chunks, start, end, seqs, mark = (b[c].to_numpy() for c in (key, "_chunk", "_lo", "_hi", "_seq", "_mark"))
             bounds, _ = _cut(b, [key, "_chunk", "_mark"])
-            nxt = _next_breaks(start, end, max_gap, max_span)
-            out = []
-            for a, z in zip(bounds[:-1], bounds[1:]):
-                at = (b[key].iat[a], b["_chunk"].iat[a])
+            nxt = _next_breaks(start, end, max_gap, max_span).tolist()
+            runs_of, out = [], []
+            for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+                at = (keys[a], chunks[a])
                 if at != group:
                     group, state = at, None
                 if mark[a] == 0:
@@ -253,14 +271,18 @@ def merge_intervals(intervals: DataFrame, key: str, seq: str, max_gap: int, max_
                 cut = np.array(cut)
                 named = np.append(np.array(named, dtype=seqs.dtype), seqs[cut[len(named):-1]])
                 lo, hi = np.minimum.reduceat(start[a:z], cut[:-1] - a), np.maximum.reduceat(end[a:z], cut[:-1] - a)
-                out.append(pd.DataFrame({key: [at[0]] * len(named), "_seq": named, "lo": lo, "hi": hi, "n": np.diff(cut)}))
+                runs_of.append(a)
+                out.append((named, lo, hi, np.diff(cut)))
                 same = state is not None and named[-1] == state[0]
                 state = (named[-1], min(lo[-1], state[1]) if same else lo[-1], max(hi[-1], state[2]) if same else hi[-1])
             if out:
-                yield pd.concat(out, ignore_index=True)
+                # one frame a batch: a key may have a few intervals only
+                of = b[key].take(np.repeat(runs_of, [len(o[0]) for o in out])).reset_index(drop=True)
+                yield pd.DataFrame({key: of} | {c: np.concatenate(v) for c, v in zip(("_seq", "lo", "hi", "n"), zip(*out))})
 
     found = in_order(marked.unionByName(at_chunks)).mapInPandas(parts, f"{of_key}, _seq {of_seq}, lo bigint, hi bigint, n bigint")
     whole = found.groupBy(key, "_seq").agg(F.min("lo").alias("start"), (F.max("hi") - F.min("lo")).alias("length"), F.sum("n").alias("members"))
+    whole = cut_lineage(whole)  # read twice
     # inside a struct a null key equals itself in the join
     no = ordered.running_sum(whole.withColumn("_key", F.struct(key)), ["_key"], "_seq", F.lit(1), "_no", chunk)
     return no.select(key, (F.col("_no") - 1).cast("bigint").alias("batch_no"), "start", "length", "members")
